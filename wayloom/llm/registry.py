@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import decontaminate, exact_dedup, mixing, url_filter, warc
+from wayloom.llm import decontaminate, exact_dedup, mixing, simhash, substring, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_mixing": mixing.op3_mixing,
+        "op4_simhash": simhash.op4_simhash,
+        "op8_substring": substring.op8_substring,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
     }
@@ -23,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.OP1_SQL,
         "op2_decontaminate": decontaminate.OP2_SQL,
+        "op8_substring": substring.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
     }

@@ -171,6 +171,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def keepers(docs: DataFrame) -> DataFrame:
+    """docs, in their columns, with one row of each group of equal texts: that of the smallest doc_id."""
+    found = stored(dedup(docs), "op9-found")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.head(1):
+        return left
+    # rows of one doc_id repeated with an equal text: any one of them stays
+    norm = F.sha2(F.regexp_replace(empty_text("text"), SPACE, " "), 256)
+    return left.withColumn("_sha", norm).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 

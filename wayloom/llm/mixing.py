@@ -77,7 +77,10 @@ def due(c: Column, target: Column, rank: Column, schedule: tuple, weights: tuple
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = CONSTANT, cap: int = 3, seed: int = 42, broadcast_sources: int = 100_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position: a row for each document, also those not taken (position null)."""
+    """doc_id, source, size, source_size, target, taken, positions: a row for each document, also those not taken.
+
+    positions has the training time of each lap's copy, in order; the last copy may be taken in part.
+    """
     sizes = sized(docs, seed)
     rows = sizes.count()
     aims = stored(targets(sizes, weights, cap), "op3-targets")
@@ -95,9 +98,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = C
     laps = F.when(F.col("source_size") > 0, F.floor(demand / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     rest = demand - laps * F.col("source_size")
     taken = (F.col("size") * laps + F.least(F.col("size"), F.greatest(rest - c, F.lit(0)))).cast("long")
-    position = F.when(taken > 0, due(c.cast("double"), F.col("target"), F.col("rank"), schedule, weights))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), position.alias("position"))
+    starts_at = [c + F.col("source_size") * k for k in range(cap)]
+    positions = F.array_compact(F.array(*[F.when((F.col("size") > 0) & (x < demand), due(x.cast("double"), F.col("target"), F.col("rank"), schedule, weights)) for x in starts_at]))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"))
+
+
+def in_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The documents that a mix takes, in docs' columns with size, target, taken and positions, sorted by range of the first position.
+
+    Expects one row for each doc_id in both.
+    """
+    got = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "target", "taken", "positions")
+    joined = docs.drop("size", "target", "taken", "positions").join(got, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return joined.withColumn("_at", F.element_at("positions", 1)).sort("_at", "doc_id").drop("_at")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "positions")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import decontaminate, exact_dedup, language, mixing, quality, simhash, substring, url_filter, warc
+from wayloom.llm import decontaminate, exact_dedup, html_text, language, mixing, quality, simhash, substring, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_mixing": mixing.op3_mixing,
         "op4_simhash": simhash.op4_simhash,
+        "op5_html": html_text.op5_html,
         "op6_language": language.op6_language,
         "op7_quality": quality.op7_quality,
         "op8_substring": substring.op8_substring,

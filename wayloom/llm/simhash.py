@@ -105,5 +105,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket: int
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def keepers(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """docs, in their columns, without the rows whose group has a smaller doc_id."""
+    gone = near_groups(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

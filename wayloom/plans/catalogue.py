@@ -1,10 +1,449 @@
-"""The named graph queries over the test tables, with their oracle SQL."""
+"""The named graph queries over the test tables, with their oracle SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayloom.graph import Graph
+from wayloom.operators import components, contract, degree, generate, morph, reach, repository, traverse
+from wayloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def graph(name: str, sql: str | None = None, keep: bool = False):
+    """Registers f(graph) as a query over a derived graph; sql may use e(src, dst), v(id) and t(id, n_in, n_self, n_out).
+
+    keep: the graph is written first, for queries that read it again and again.
+    """
+
+    def add(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+        q = f"q_{f.__name__}"
+        QUERIES[q] = lambda spark, d: f(tables.GRAPHS[name](spark, d).stored() if keep else tables.GRAPHS[name](spark, d))
+        if sql is not None:
+            ORACLE[q] = with_graph(name, sql)
+        return f
+
+    return add
+
+
+def with_graph(name: str, sql: str) -> str:
+    """The SQL after the graph's relations; v of the event chain has events without a next one too."""
+    lone = " UNION SELECT event_id + 1 FROM events" if name == "eventchain" else ""
+    recursive = "WITH RECURSIVE" if sql.lstrip().startswith(", RECURSIVE") else "WITH"
+    sql = sql.replace(", RECURSIVE", ",", 1)
+    return f"""{recursive} e AS ({tables.SQL[name]}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e{lone}),
+t AS (SELECT id, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(s) AS BIGINT) AS n_self, CAST(sum(o) AS BIGINT) AS n_out FROM
+  (SELECT id, 0 AS i, 0 AS s, 0 AS o FROM v UNION ALL SELECT src, 0, 0, 1 FROM e WHERE src <> dst UNION ALL SELECT dst, 1, 0, 0 FROM e WHERE src <> dst UNION ALL SELECT src, 0, 1, 0 FROM e WHERE src = dst) GROUP BY id)
+{sql}"""
+
+
+CLASS = """CASE WHEN n_in = 0 AND n_self = 0 AND n_out = 0 THEN 'isolated' WHEN n_self = 0 AND n_out = 0 THEN 'sink' WHEN n_in = 0 AND n_self = 0 THEN 'source'
+WHEN n_in = 1 AND n_self = 0 AND n_out = 1 THEN 'linear' WHEN n_in = 0 AND n_self = 1 AND n_out = 0 THEN 'self_isolated' WHEN n_self = 1 AND n_out = 0 THEN 'self_sink'
+WHEN n_in = 0 AND n_self = 1 THEN 'self_source' WHEN n_in = 1 AND n_self = 1 AND n_out = 1 THEN 'self_linear' ELSE 'complex' END"""
+
+
+def text_of(c: str):
+    return F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+# --- elements, degrees, classes
+
+
+@graph("partchain", "SELECT id FROM v")
+def vertices(g):
+    return g.vertices
+
+
+@graph("partchain", "SELECT src, dst FROM e")
+def edges(g):
+    return g.edges
+
+
+@graph("partchain", "SELECT (SELECT count(*) FROM v) AS nvert, (SELECT count(*) FROM e) AS nedge, (SELECT count(*) FROM e WHERE src = dst) AS nself")
+def counts(g):
+    return g.counts()
+
+
+@graph("partchain", "SELECT min(id) AS low, max(id) AS high FROM v")
+def minmax(g):
+    return g.vertices.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+
+
+@graph("nation", "SELECT max(id) AS k, (SELECT count(*) FROM v) - max(id) AS others FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM v) WHERE id = r", keep=True)
+def rangelist(g):
+    run, others = g.leading_range()
+    return others.agg(F.lit(len(run)).cast("long").alias("k"), F.count(F.lit(1)).alias("others"))
+
+
+@graph("error", "SELECT * FROM t")
+def deg3(g):
+    return degree.triples(g)
+
+
+@graph("error", "SELECT id, n_in + n_self AS n_in, n_out + n_self AS n_out FROM t")
+def degree_in_out(g):
+    return degree.degrees(g, "in_out")
+
+
+@graph("error", "SELECT id, n_in + n_self AS n FROM t")
+def degree_in(g):
+    return degree.degrees(g, "in")
+
+
+@graph("error", "SELECT id, n_out + n_self AS n FROM t")
+def degree_out(g):
+    return degree.degrees(g, "out")
+
+
+@graph("error", f"SELECT t.*, {CLASS} AS vclass FROM t")
+def classes(g):
+    return degree.classes(g)
+
+
+@graph("partchain", f"SELECT {CLASS} AS vclass, count(*) AS n FROM t GROUP BY 1")
+def class_histo(g):
+    return degree.classes(g).groupBy("vclass").agg(F.count(F.lit(1)).alias("n"))
+
+
+@graph("nation", "SELECT id, coalesce((SELECT string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM e WHERE dst = id AND src <> id), '') AS ins, EXISTS (SELECT 1 FROM e WHERE src = id AND dst = id) AS loop, coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) FROM e WHERE src = id AND dst <> id), '') AS outs FROM v")
+def neighbourhood(g):
+    return degree.neighbourhoods(g).select("id", text_of("ins").alias("ins"), "loop", text_of("outs").alias("outs"))
+
+
+@graph("supply", "SELECT id FROM t WHERE n_in = 0 AND n_out > 0")
+def sources(g):
+    return degree.sources(g)
+
+
+@graph("supply", "SELECT id FROM t WHERE n_out = 0 AND n_in > 0")
+def sinks(g):
+    return degree.sinks(g)
+
+
+@graph("eventchain", "SELECT id FROM t WHERE n_in + n_self + n_out = 0")
+def isolated(g):
+    return degree.isolated(g)
+
+
+@graph("nation", "SELECT src AS id FROM e WHERE src = dst")
+def selfloops(g):
+    return g.edges.filter("src = dst").select(F.col("src").alias("id"))
+
+
+for _selector, _deg in {"in": "n_in + n_self", "out": "n_out + n_self", "in_out": "n_in + n_out + 2 * n_self", "in_self_out": "n_in + n_out"}.items():
+    QUERIES[f"q_histo1_{_selector}"] = lambda spark, d, s=_selector: degree.histogram1(tables.partchain(spark, d), s)
+    ORACLE[f"q_histo1_{_selector}"] = with_graph("partchain", f"SELECT {_deg} AS deg, count(*) AS n FROM t GROUP BY 1")
+
+
+@graph("partchain", "SELECT n_in + n_self AS n_in, n_out + n_self AS n_out, count(*) AS n FROM t GROUP BY 1, 2")
+def histo2(g):
+    return degree.histogram2(g)
+
+
+@graph("partchain", "SELECT n_in, n_out, count(*) AS n FROM t GROUP BY 1, 2")
+def histo2_no_loops(g):
+    return degree.histogram2(g, loops=False)
+
+
+@graph("partchain", "SELECT n_in, n_self, n_out, count(*) AS n FROM t GROUP BY 1, 2, 3")
+def histo3(g):
+    return degree.histogram3(g)
+
+
+# --- editing
+
+
+@graph("nation", "SELECT dst AS src, src AS dst FROM e")
+def transpose(g):
+    return g.transpose().edges
+
+
+@graph("nation", "SELECT * FROM e WHERE src NOT IN (3, 7, 8, 9) AND dst NOT IN (3, 7, 8, 9)")
+def delete_vertices(g):
+    return g.delete([3, range(7, 10), 999]).edges
+
+
+@graph("nation", "SELECT * FROM e WHERE NOT (src = 1 AND dst IN (2, 3, 4)) AND NOT (src = 2 AND dst = 5) AND NOT (src = 5 AND dst = 6)")
+def delete_edges(g):
+    return g.delete([(1, [2, 3, 4]), (2, 5, 6)]).edges
+
+
+@graph("nation", "SELECT * FROM e UNION SELECT * FROM (VALUES (100, 101), (101, 102), (102, 1), (1, 1)) AS x(src, dst)")
+def add_chain(g):
+    return g.add((100, 101, 102, 1, 1)).edges
+
+
+@graph("nation", "SELECT id FROM v UNION SELECT * FROM range(200, 211) UNION SELECT 300 UNION SELECT 301")
+def add_vertices(g):
+    return g.add([range(200, 211), 300, (301, [])]).vertices
+
+
+@graph("nation", "SELECT DISTINCT (src + 1) // 2 AS src, (dst + 1) // 2 AS dst FROM e")
+def relabel(g):
+    return g.relabel(lambda i: F.floor((i + 1) / 2)).edges
+
+
+@graph("nation", "SELECT src + 10 AS src, dst + 10 AS dst FROM e")
+def relabel_table(g):
+    return g.relabel(g.vertices.select(F.col("id").alias("old"), (F.col("id") + 10).alias("new"))).edges
+
+
+@graph("error", ", r AS (SELECT id, coalesce(lead(id) OVER (ORDER BY id), min(id) OVER ()) AS n FROM v) SELECT a.n AS src, b.n AS dst FROM e JOIN r a ON src = a.id JOIN r b ON dst = b.id", keep=True)
+def rotate(g):
+    return g.rotate().edges
+
+
+@graph("nation", "SELECT * FROM e UNION SELECT src + 5, dst + 5 FROM e")
+def join_merge(g):
+    return g.join(g.relabel(lambda i: i + 5)).edges
+
+
+@graph("nation", "SELECT * FROM e UNION SELECT src + (SELECT max(id) - min(id) + 1 FROM v), dst + (SELECT max(id) - min(id) + 1 FROM v) FROM e", keep=True)
+def join_disjoint(g):
+    return g.join(g, "disjoint").edges
+
+
+@graph("nation", "SELECT true AS same, false AS other", keep=True)
+def equal(g):
+    return g.spark.createDataFrame([(g.equal(g.transpose().transpose()), g.equal(g.delete((1, 2)).add(999)))], "same boolean, other boolean")
+
+
+# --- reach
+
+LOW = "(SELECT min(id) FROM v)"
+STEP = {"out": ("src", "dst"), "in": ("dst", "src")}
+
+
+def reach_sql(way: str, hops: int | None = None) -> str:
+    a, b = STEP[way]
+    if hops is None:
+        return f"r(id) AS (SELECT {LOW} UNION SELECT {b} FROM e JOIN r ON {a} = r.id)"
+    return f"r(id, hop) AS (SELECT {LOW}, 0 UNION SELECT {b}, hop + 1 FROM e JOIN r ON {a} = r.id WHERE hop < {hops})"
+
+
+@graph("partchain", f", RECURSIVE {reach_sql('out')} SELECT id FROM r", keep=True)
+def reach_out(g):
+    return reach.reachable(g, g.some_vertex(), "out")
+
+
+@graph("partchain", f", RECURSIVE {reach_sql('in')} SELECT id FROM r", keep=True)
+def reach_in(g):
+    return reach.reachable(g, g.some_vertex(), "in")
+
+
+@graph("partchain", f", RECURSIVE {reach_sql('out')}, {reach_sql('in').replace('r(id)', 's(id)').replace('JOIN r ON', 'JOIN s ON').replace('r.id', 's.id')} SELECT id FROM r UNION SELECT id FROM s", keep=True)
+def reach_in_out(g):
+    return reach.reachable(g, g.some_vertex(), "in_out")
+
+
+@graph("partchain", f", RECURSIVE {reach_sql('out', 3)} SELECT DISTINCT id FROM r", keep=True)
+def reach_3hop(g):
+    return reach.reachable(g, g.some_vertex(), "out", 3)
+
+
+@graph("tree", f", RECURSIVE {reach_sql('out', 10)} SELECT min(hop) AS hop, id FROM r GROUP BY id", keep=True)
+def frontiers(g):
+    return reach.frontiers(g, 1)
+
+
+@graph("partchain", f", RECURSIVE b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, hop) AS (SELECT {LOW}, 0 UNION SELECT dst, hop + 1 FROM b JOIN r ON src = r.id WHERE hop < 4) SELECT min(hop) AS hop, id FROM r GROUP BY id", keep=True)
+def frontiers_weak(g):
+    return reach.frontiers(g, g.some_vertex(), "in_out", 4)
+
+
+@graph("partchain", f", RECURSIVE {reach_sql('out', 30)}, h AS (SELECT min(hop) AS hop, id FROM r GROUP BY id) SELECT hop, count(*) AS n FROM h GROUP BY hop", keep=True)
+def frontier_histo(g):
+    return degree.frontier_sizes(reach.frontiers(g, g.some_vertex()))
+
+
+# --- components
+
+WCC = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), c(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM c JOIN b ON src = c.id WHERE x <= dst), w AS (SELECT id, min(x) AS comp FROM c GROUP BY id)"
+SCC = "c(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM c JOIN e ON src = c.id), k AS (SELECT a.id, min(a.x) AS comp FROM c a JOIN c b ON a.id = b.x AND a.x = b.id GROUP BY a.id)"
+
+
+@graph("partchain", f", RECURSIVE {WCC} SELECT id, comp FROM w", keep=True)
+def wcc(g):
+    return components.weak(g)
+
+
+@graph("partchain", f", RECURSIVE {WCC} SELECT comp, count(*) AS n FROM w GROUP BY comp", keep=True)
+def wcc_sizes(g):
+    return components.weak(g).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+
+
+@graph("partchain", f", RECURSIVE {SCC} SELECT id, comp FROM k", keep=True)
+def scc(g):
+    return components.strong(g)
+
+
+@graph("partchain", f", RECURSIVE {SCC} SELECT DISTINCT p.comp AS src, q.comp AS dst FROM e JOIN k p ON e.src = p.id JOIN k q ON e.dst = q.id WHERE p.comp <> q.comp", keep=True)
+def condensation(g):
+    return components.condensation(g).edges
+
+
+@graph("nation", f", RECURSIVE {SCC} SELECT src, dst, p.comp AS src_part, q.comp AS dst_part FROM e LEFT JOIN (SELECT * FROM k WHERE id % 2 = 1) p ON src = p.id LEFT JOIN (SELECT * FROM k WHERE id % 2 = 1) q ON dst = q.id", keep=True)
+def partition_index(g):
+    parts = components.strong(g).filter("id % 2 = 1").withColumnRenamed("comp", "part")
+    return components.partition_index(g, parts)[1]
+
+
+@graph("tree", "SELECT true AS weak_tree, true AS strong_tree, CAST(1 AS BIGINT) AS root", keep=True)
+def tree_root(g):
+    return g.spark.createDataFrame([(components.is_tree(g), components.is_tree(g, "strong"), components.root(g))], "weak_tree boolean, strong_tree boolean, root long")
+
+
+@graph("nation", "SELECT (SELECT count(*) FROM e) > (SELECT count(*) FROM v) - 1 AS weak_cycle, true AS strong_cycle", keep=True)
+def cyclic(g):
+    return g.spark.createDataFrame([(components.is_cyclic(g), components.is_cyclic(g, "strong"))], "weak_cycle boolean, strong_cycle boolean")
+
+
+@graph("tree", "SELECT false AS weak_cycle, false AS strong_cycle", keep=True)
+def cyclic_tree(g):
+    return g.spark.createDataFrame([(components.is_cyclic(g), components.is_cyclic(g, "strong"))], "weak_cycle boolean, strong_cycle boolean")
+
+
+@graph("eventchain", "SELECT count(DISTINCT user_id) AS ncomp, count(DISTINCT user_id) = 1 AS weak, false AS strong FROM events", keep=True)
+def connected(g):
+    return g.spark.createDataFrame([(components.n_components(g), components.is_connected(g), g.n_vertices() < 2)], "ncomp long, weak boolean, strong boolean")
+
+
+@graph("nation", f", RECURSIVE {SCC} SELECT count(DISTINCT comp) AS ncomp, count(DISTINCT comp) = 1 AS connected FROM k", keep=True)
+def connected_strong(g):
+    n = components.n_components(g, "strong")
+    return g.spark.createDataFrame([(n, components.is_connected(g, "strong"))], "ncomp long, connected boolean")
+
+
+# --- walks
+
+
+@graph("tree", ", RECURSIVE r(id, p, depth) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)], 0 UNION ALL SELECT dst, list_append(p, dst), depth + 1 FROM r JOIN e ON src = r.id) SELECT id, row_number() OVER (ORDER BY p) AS pre, depth FROM r", keep=True)
+def forest_preorder(g):
+    return traverse.forest(g, "strong").select("id", "pre", "depth")
+
+
+@graph("tree", "SELECT src, dst FROM e", keep=True)
+def forest_edges(g):
+    return traverse.to_graph(traverse.forest(g, "strong")).edges
+
+
+@graph("partchain", f", RECURSIVE {WCC} SELECT id, comp AS part FROM w", keep=True)
+def forest_partition(g):
+    return traverse.to_partition(traverse.forest(g, "weak"))
+
+
+@graph("nation", keep=True)
+def forest_postorder(g):
+    return traverse.postorder(traverse.forest(g, "strong"))
+
+
+@graph("tree", ", RECURSIVE r(id, p, depth) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)], 0 UNION ALL SELECT dst, list_append(p, dst), depth + 1 FROM r JOIN e ON src = r.id) SELECT row_number() OVER (ORDER BY p) AS pre, repeat('  ', depth) || id AS line FROM r", keep=True)
+def forest_dump(g):
+    return traverse.dump(traverse.forest(g, "strong"))
+
+
+@graph("tree", ", RECURSIVE r(id, depth, p) AS (SELECT CAST(1 AS BIGINT), 0, [CAST(1 AS BIGINT)] UNION ALL SELECT dst, depth + 1, list_append(p, dst) FROM r JOIN e ON src = r.id) SELECT row_number() OVER (ORDER BY depth, p) AS pos, id FROM r", keep=True)
+def bfs_order(g):
+    from wayloom.functions.walk import Order
+
+    return traverse.traverse(g, lambda near: Order(), "pos long, id long", "strong", "bfs", 1)
+
+
+# --- contraction
+
+
+@graph("nation", "SELECT DISTINCT CASE WHEN src = 2 THEN 1 ELSE src END AS src, CASE WHEN dst = 2 THEN 1 ELSE dst END AS dst FROM e WHERE NOT (src IN (1, 2) AND dst IN (1, 2) AND src <> dst)", keep=True)
+def contract_edge(g):
+    return contract.edge(g.add((1, 2)), 1, 2).edges
+
+
+@graph("nation", "SELECT DISTINCT CASE WHEN src IN (3, 4, 5) THEN 3 ELSE src END AS src, CASE WHEN dst IN (3, 4, 5) THEN 3 ELSE dst END AS dst FROM e WHERE NOT (src IN (3, 4, 5) AND dst IN (3, 4, 5) AND src <> dst)", keep=True)
+def contract_nodes(g):
+    return contract.nodes(g, [3, 4, 5, 999]).edges
+
+
+@graph("eventchain", "SELECT min_by(event_id, (ts, event_id)) + 1 AS src, max_by(event_id, (ts, event_id)) + 1 AS dst FROM events GROUP BY user_id HAVING count(*) > 1", keep=True)
+def linears(g):
+    return contract.linears(g).edges
+
+
+# --- hashes, repository, generators
+
+KEYS = """, k AS (SELECT id, n_in || ',' || n_self || ',' || n_out AS k FROM t), n AS (SELECT src, dst FROM e WHERE src <> dst),
+a AS (SELECT id, string_agg(k || ':' || c, '|' ORDER BY k) AS s FROM (SELECT dst AS id, k, count(*) AS c FROM n JOIN k ON n.src = k.id GROUP BY 1, 2) GROUP BY id),
+b AS (SELECT id, string_agg(k || ':' || c, '|' ORDER BY k) AS s FROM (SELECT src AS id, k, count(*) AS c FROM n JOIN k ON n.dst = k.id GROUP BY 1, 2) GROUP BY id),
+h AS (SELECT sha256(coalesce(a.s, '') || ';' || k.k || ';' || coalesce(b.s, '')) AS h FROM k LEFT JOIN a USING (id) LEFT JOIN b USING (id)),
+h0 AS (SELECT sha256(string_agg(k || ':' || c, '|' ORDER BY k)) AS hop0 FROM (SELECT k, count(*) AS c FROM k GROUP BY k)),
+h1 AS (SELECT sha256(string_agg(h || ':' || c, '|' ORDER BY h)) AS hop1 FROM (SELECT h, count(*) AS c FROM h GROUP BY h)) """
+
+
+@graph("partchain", KEYS + "SELECT (SELECT count(*) FROM v) AS nvert, (SELECT count(*) FROM e) AS nedge, hop0, hop1 FROM h0, h1", keep=True)
+def gkey(g):
+    return morph.gkey(g)
+
+
+@graph("partchain", KEYS + "SELECT hop0 FROM h0", keep=True)
+def hash0(g):
+    return morph.gkey(g).select("hop0")
+
+
+@graph("partchain", KEYS + "SELECT hop1 FROM h1", keep=True)
+def hash1(g):
+    return morph.gkey(g).select("hop1")
+
+
+@graph("nation", "SELECT 'isomorphic' AS verdict, true AS maps", keep=True)
+def isomorphism(g):
+    other = g.rotate()
+    verdict, to = morph.isomorphism(g, other)
+    return g.spark.createDataFrame([(verdict, bool(to) and g.relabel(to).equal(other))], "verdict string, maps boolean")
+
+
+@graph("nation", "SELECT least(src, dst) AS i, greatest(src, dst) AS j FROM e WHERE src < dst AND EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)")
+def edge_pairs(g):
+    back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return g.edges.filter("src < dst").join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("i"), F.col("dst").alias("j"))
+
+
+def made(sql: str | None = None):
+    def add(f):
+        QUERIES[f"q_{f.__name__}"] = lambda spark, d: f(spark)
+        if sql:
+            ORACLE[f"q_{f.__name__}"] = sql
+        return f
+
+    return add
+
+
+@made("SELECT CAST(21 AS BIGINT) AS graphs, CAST(21 AS BIGINT) AS iso, CAST(19 AS BIGINT) AS homeo")
+def classes_connected5(spark):
+    r = repository.all_graphs(spark, 5)
+    return spark.createDataFrame([(r.exemplars("iso").count(), r.n_classes("iso"), r.n_classes("homeo"))], "graphs long, iso long, homeo long")
+
+
+@made("SELECT CAST(1024 AS BIGINT) AS graphs, CAST(34 AS BIGINT) AS iso, CAST(32 AS BIGINT) AS homeo")
+def classes_all5(spark):
+    r = repository.all_graphs(spark, 5, connected=False)
+    return spark.createDataFrame([(r.n_graphs(), r.n_classes("iso"), r.n_classes("homeo"))], "graphs long, iso long, homeo long")
+
+
+N = 1000
+GENERATED = {
+    "dust": (lambda s: generate.dust(s, N).vertices, f"SELECT range AS id FROM range(1, {N} + 1)"),
+    "line": (lambda s: generate.line(s, N).edges, f"SELECT range - 1 AS src, range AS dst FROM range(2, {N} + 1)"),
+    "ring": (lambda s: generate.ring(s, N).edges, f"SELECT range AS src, range % {N} + 1 AS dst FROM range(1, {N} + 1)"),
+    "fan_out": (lambda s: generate.fan_out(s, N).edges, f"SELECT 1 AS src, range AS dst FROM range(2, {N} + 1)"),
+    "fan_in": (lambda s: generate.fan_in(s, N).edges, f"SELECT range AS src, 1 AS dst FROM range(2, {N} + 1)"),
+    "wheel": (lambda s: generate.wheel(s, N).edges, f"SELECT 1 AS src, range AS dst FROM range(2, {N} + 1) UNION SELECT range - 1, range FROM range(3, {N} + 1) UNION SELECT {N}, 2"),
+    "clique": (lambda s: generate.clique(s, 60).edges, "SELECT a.range AS src, b.range AS dst FROM range(1, 61) a, range(1, 61) b WHERE a.range <> b.range"),
+    "grid2d": (lambda s: generate.grid2d(s, 40, 25).edges, "SELECT a.range AS src, b.range AS dst FROM range(1, 1001) a, range(1, 1001) b WHERE abs((a.range - 1) % 40 - (b.range - 1) % 40) + abs((a.range - 1) // 40 - (b.range - 1) // 40) = 1"),
+    "random": (lambda s: generate.random(s, N, 3000, True).edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src", "dst").alias("different"), F.sum(F.when(F.col("src") == F.col("dst"), 1).otherwise(0)).alias("loops")), "SELECT CAST(3000 AS BIGINT) AS n, CAST(3000 AS BIGINT) AS different, CAST(0 AS BIGINT) AS loops"),
+}
+for _name, (_f, _sql) in GENERATED.items():
+    QUERIES[f"q_gen_{_name}"] = lambda spark, d, f=_f: f(spark)
+    ORACLE[f"q_gen_{_name}"] = _sql

@@ -240,7 +240,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(f"{root}/_tasks", recursive=True)
         name = f"{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}"
         pack = (lambda x: (z := zlib.compressobj(1, zlib.DEFLATED, 31)).compress(x) + z.flush()) if self.gzip else (lambda x: x)
-        with fs.open_output_stream(f"{root}/_tasks/{name}", buffer_size=1 << 20) as out:
+        with fs.open_output_stream(f"{root}/_tasks/{name}", compression=None, buffer_size=1 << 20) as out:
             out.write(pack(record({"record_type": "warcinfo", "record_id": f"urn:uuid:{uuid.uuid4()}", "date": None, "target_uri": None, "payload_digest": None, "payload": b"format: WARC File Format 1.1\r\n", "payload_length": 29})))
             for batch in iterator:
                 for i in range(batch.num_rows):

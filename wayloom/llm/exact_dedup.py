@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import SPACE, empty_text, map_arrow, stored, table, texts
+from wayloom.llm.common import SPACE, empty_text, map_arrow, stored, table, texts, unused
 
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -120,9 +120,11 @@ def repeated(narrow: DataFrame, rows: int, range_rows: int = 4_000_000, block: i
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            f = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            if not held:
+                return
+            f = np.sort(np.concatenate(held))
             held.clear()
-            edges = np.searchsorted(f, np.array([i * width for i in range(ranges)], np.uint64)) if len(f) else []
+            edges = np.searchsorted(f, np.array([i * width for i in range(ranges)], np.uint64))
             ids, blobs = [], []
             for i, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(f)], strict=True)):
                 if hi > lo:
@@ -174,14 +176,15 @@ def dedup(docs: DataFrame) -> DataFrame:
 def keepers(docs: DataFrame) -> DataFrame:
     """docs, in their columns, with one row of each group of equal texts: that of the smallest doc_id."""
     found = stored(dedup(docs), "op9-found")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    name = unused(docs, "gone")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
     again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not again.head(1):
         return left
     # rows of one doc_id repeated with an equal text: any one of them stays
     norm = F.sha2(F.regexp_replace(empty_text("text"), SPACE, " "), 256)
-    return left.withColumn("_sha", norm).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return left.withColumn(name, norm).dropDuplicates(["doc_id", name]).drop(name)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

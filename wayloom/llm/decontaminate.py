@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import map_arrow, table, texts
+from wayloom.llm.common import map_arrow, table, texts, unused
 
 #: Bytes outside words become spaces, A-Z become a-z; bytes of 0x80 and above belong to words.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
@@ -144,8 +144,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, share: float = 0.0) -> DataFrame:
     """The documents of which no more than `share` of the words is hit, in docs' columns."""
-    bad = digest(find(docs, benchmark, window)).filter(F.col("n_hit") > F.col("n_words") * share).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "bad")
+    bad = digest(find(docs, benchmark, window)).filter(F.col("n_hit") > F.col("n_words") * share).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:

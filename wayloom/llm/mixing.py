@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import WORD, empty_text, stored, table
+from wayloom.llm.common import WORD, empty_text, stored, table, unused
 
 #: The contract's weights, and knots of training time with a factor for each weight class: constant.
 WEIGHTS = (5, 2, 1)
@@ -108,9 +108,11 @@ def in_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Expects one row for each doc_id in both.
     """
-    got = mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "target", "taken", "positions")
-    joined = docs.drop("size", "target", "taken", "positions").join(got, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return joined.withColumn("_at", F.element_at("positions", 1)).sort("_at", "doc_id").drop("_at")
+    docs = docs.drop("size", "target", "taken", "positions")
+    name = unused(docs, "mixed_id")
+    got = mixed.filter("taken > 0").select(F.col("doc_id").alias(name), "size", "target", "taken", "positions")
+    joined = docs.join(got, F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
+    return joined.sort(F.element_at("positions", 1), "doc_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import map_arrow, stored, table, texts
+from wayloom.llm.common import map_arrow, stored, table, texts, unused
 from wayloom.llm.components import stars
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -107,8 +107,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket: int
 
 def keepers(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """docs, in their columns, without the rows whose group has a smaller doc_id."""
-    gone = near_groups(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = near_groups(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,7 +301,8 @@ def dedup(docs: DataFrame, window: int = 50, shard: int = 256) -> tuple[DataFram
     pieces = stored(segment_texts(texts_of.join(wanted, "doc_id"), window), "op8-pieces")
     by_shard = shard_spans(pieces.filter("words is not null"), window)
     wins = pieces.filter("wins is not null").select("doc_id", F.inline("wins"))
-    least = wins.groupBy("a", "b").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").drop("d1")
+    # written, so that the join below has an exchange on both sides and Spark can split a very common window
+    least = stored(wins.groupBy("a", "b").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").drop("d1"), "op8-least")
     by_hash = wins.join(least, ["a", "b"]).filter("doc_id > d0").select("doc_id", F.col("at").alias("lo"), (F.col("at") + window).cast("int").alias("hi"))
     spans = equal.union(by_shard).union(by_hash).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return base.select("doc_id", "n_words", "sha"), stored(kept_table(texts_of.join(spans, "doc_id")), "op8-kept")

@@ -12,7 +12,7 @@ def stars(links: DataFrame, name: str, rounds: int = 64) -> DataFrame:
     """links (a, b) of longs, a <> b, any order; returns (node, root) for every linked node, root the smallest of its component.
 
     A node's neighbours are never gathered: a round takes a minimum for each node (summed up before the
-    shuffle) and joins it back, a join that Spark may split where a node has very many links.
+    shuffle), writes the minima and joins them back: a join that Spark can split where a node has very many links.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     mark = None
@@ -22,9 +22,9 @@ def stars(links: DataFrame, name: str, rounds: int = 64) -> DataFrame:
             break
         mark = now
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, name)
     else:

@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = C
     rows = sizes.count()
     aims = stored(targets(sizes, weights, cap), "op3-targets")
     small = aims.count() <= broadcast_sources
-    buckets = max(1, int(rows / max(2000, math.isqrt(rows))))
+    buckets = max(1, int(rows / max(500, math.isqrt(rows))))
     parts = sizes.join(F.broadcast(aims) if small else aims, sizes.source.eqNullSafe(aims.source)).drop(aims.source)
     parts = parts.withColumn("bucket", F.pmod(F.shiftright("h", 12), F.lit(buckets)))
     # the order within a source is by bucket, then hash; equal rows of one document stand side by side

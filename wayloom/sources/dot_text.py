@@ -114,7 +114,7 @@ class Dot:
         return self.attribute(k, Word(v))
 
     def size(self, w: float, h: float) -> Dot:
-        return self.attribute("size", (w, h) if not (isinstance(w, int) and isinstance(h, int)) else (str(w), str(h)))
+        return self.attribute("size", (w, h))
 
     def fixedsize(self, yes: bool) -> Dot:
         return self.attribute("fixedsize", yes)
@@ -123,10 +123,10 @@ class Dot:
         return self.attribute("fontname", font)
 
     def common(self, kind: str, attributes: Any) -> Dot:
-        """Attributes of all nodes or all edges."""
+        """Attributes of all nodes or all edges: a list of pairs, or the graph's attributes."""
         if kind not in ("node", "edge"):
             raise ValueError(f"not node or edge: {kind}")
-        own = pairs(attributes.get(kind) if isinstance(attributes, dict) and kind in attributes else [] if isinstance(attributes, dict) and not all(isinstance(k, str) for k in attributes) else attributes)
+        own = pairs(attributes.get(kind) if isinstance(attributes, dict) else attributes)
         return self.put(f"{kind}{bracketed(own)};") if own else self
 
     def globals(self, name: str, attributes: Attributes) -> Dot:

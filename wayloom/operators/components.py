@@ -52,29 +52,34 @@ class _Rest:
     """The vertices and edges that no strong component has taken yet, and the components found."""
 
     def __init__(self, g: Graph):
-        self.edges = stored(g.edges.filter("src <> dst"), "scc-edges")
-        self.ids = stored(g.vertices.select("id"), "scc-ids")
+        self.edges, self.n_edges, _ = counted(g.edges.filter("src <> dst"), "scc-edges")
+        self.ids, self.left, _ = counted(g.vertices.select("id"), "scc-ids")
         self.found = [g.vertices.limit(0).select("id", F.col("id").alias("comp"))]
-        self.left = self.ids.count()
 
-    def take(self, comps: DataFrame) -> int:
-        """comps: (id, comp), whole components of the rest."""
+    def take(self, comps: DataFrame, edges: bool = True) -> None:
+        """comps: (id, comp), whole components of the rest. edges: whether their edges are still there."""
         got, n, _ = counted(comps, "scc-found")
         if n:
             self.found.append(got)
             gone = got.select("id")
-            self.ids = stored(self.ids.join(gone, "id", "left_anti"), "scc-ids")
-            s, d = gone.withColumnRenamed("id", "src"), gone.withColumnRenamed("id", "dst")
-            self.edges = stored(self.edges.join(s, "src", "left_anti").join(d, "dst", "left_anti").select("src", "dst"), "scc-edges")
-            self.left -= n
-        return n
+            self.ids, self.left, _ = counted(self.ids.join(gone, "id", "left_anti"), "scc-ids")
+            if edges:
+                s, d = gone.withColumnRenamed("id", "src"), gone.withColumnRenamed("id", "dst")
+                self.edges, self.n_edges, _ = counted(self.edges.join(s, "src", "left_anti").join(d, "dst", "left_anti").select("src", "dst"), "scc-edges")
 
     def trim(self) -> None:
-        """Vertices without way in or way out are components of their own; so again until none is left."""
-        while self.left:
-            inner = self.edges.select(F.col("src").alias("id")).intersect(self.edges.select(F.col("dst").alias("id")))
-            if not self.take(self.ids.join(inner, "id", "left_anti").select("id", F.col("id").alias("comp"))):
-                return
+        """Edges from vertices without a way in, or to vertices without a way out, go until none is left of these.
+
+        The vertices that lose all their edges so are components of their own.
+        """
+        while self.n_edges:
+            ahead, back = self.edges.select(F.col("dst").alias("src")).distinct(), self.edges.select(F.col("src").alias("dst")).distinct()
+            edges, n, _ = counted(self.edges.join(ahead, "src", "left_semi").join(back, "dst", "left_semi").select("src", "dst"), "scc-edges")
+            if n == self.n_edges:
+                break
+            self.edges, self.n_edges = edges, n
+        inner = self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        self.take(self.ids.join(inner, "id", "left_anti").select("id", F.col("id").alias("comp")), edges=False)
 
     def pivot(self) -> None:
         """The component of the vertex with most ways through it: the common part of its two reaches."""

@@ -1,0 +1,106 @@
+"""Search and components of a whole graph in one task, for graphs of at most LIMIT edges; beyond it the operators go by joins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+LIMIT = 500_000
+
+
+def in_one_task(rows: DataFrame, f: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """Gathers the rows' columns (not null) as arrays, applies f, gives its arrays as columns of longs and ints."""
+    names = rows.columns
+    out = [x.strip().split() for x in schema.split(",")]
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in names]
+        for b in batches:
+            for x, c in zip(held, b.columns, strict=True):
+                x.append(c.to_numpy(zero_copy_only=False))
+        found = f([np.concatenate(x) if x else np.zeros(0, np.int64) for x in held])
+        yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(found, out, strict=True)], names=[n for n, _ in out])
+
+    return rows.repartition(1).mapInArrow(run, schema)
+
+
+def indexed(src: np.ndarray, dst: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The ids, and for sorted source positions: where each one's targets begin, the targets, and more as positions."""
+    ids = np.unique(np.concatenate([src, dst, *more]))
+    s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    order = np.argsort(s, kind="stable")
+    return ids, np.searchsorted(s[order], np.arange(len(ids) + 1)), d[order], [np.searchsorted(ids, x) for x in more]
+
+
+def search(src: np.ndarray, dst: np.ndarray, start: np.ndarray, nhop: int | None) -> list[np.ndarray]:
+    """hop, id of what is within nhop steps of start."""
+    ids, first, to, (front,) = indexed(src, dst, np.unique(start))
+    hop = np.full(len(ids), -1)
+    hop[front] = n = 0
+    while len(front) and (nhop is None or n < nhop):
+        n += 1
+        count = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        front = np.unique(to[at])
+        front = front[hop[front] < 0]
+        hop[front] = n
+    met = hop >= 0
+    return [hop[met], ids[met]]
+
+
+def weak(src: np.ndarray, dst: np.ndarray) -> list[np.ndarray]:
+    """id, smallest id of the weak component: least labels, with pointers shortened each time."""
+    ids = np.unique(np.concatenate([src, dst]))
+    s, d, label = np.searchsorted(ids, src), np.searchsorted(ids, dst), np.arange(len(ids))
+    while True:
+        least, before = np.minimum(label[s], label[d]), label.copy()
+        # the roots of both ends hang on the lesser label
+        np.minimum.at(label, before[s], least)
+        np.minimum.at(label, before[d], least)
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+        if (label == before).all():
+            return [ids, ids[label]]
+
+
+def strong(src: np.ndarray, dst: np.ndarray) -> list[np.ndarray]:
+    """id, smallest id of the strong component: one depth-first walk with low links, without recursion."""
+    ids, first, to, _ = indexed(src, dst)
+    n, first, to = len(ids), first.tolist(), to.tolist()
+    number, low, comp, path, count = [0] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        if number[root]:
+            continue
+        count += 1
+        number[root] = low[root] = count
+        path.append(root)
+        walk = [(root, first[root])]
+        while walk:
+            v, at = walk.pop()
+            if at < first[v + 1]:
+                walk.append((v, at + 1))
+                w = to[at]
+                if not number[w]:
+                    count += 1
+                    number[w] = low[w] = count
+                    path.append(w)
+                    walk.append((w, first[w]))
+                elif comp[w] < 0:
+                    low[v] = min(low[v], number[w])
+                continue
+            if low[v] == number[v]:
+                k = len(path) - 1
+                while path[k] != v:
+                    k -= 1
+                least = min(path[k:])
+                for w in path[k:]:
+                    comp[w] = least
+                del path[k:]
+            if walk:
+                u = walk[-1][0]
+                low[u] = min(low[u], low[v])
+    return [ids, ids[np.array(comp, np.int64)] if n else ids]

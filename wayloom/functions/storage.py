@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, for clusters on which it isn't installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_wayloom_shipped", False):
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        holder = tempfile.mkdtemp(prefix="wayloom-zip-")
+        atexit.register(shutil.rmtree, holder, True)
+        sc.addPyFile(shutil.make_archive(f"{holder}/wayloom", "zip", top, "wayloom"))
+        sc._wayloom_shipped = True
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -32,6 +45,7 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 
 def counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int, str]:
     """The stored table, its number of rows, counted as it is written, and its path."""
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.functions import small
 from wayloom.functions.storage import counted, stored
 from wayloom.graph import Graph
 from wayloom.operators.degree import triples
@@ -22,6 +23,8 @@ def stars(links: DataFrame) -> DataFrame:
     """
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     edges, n, _ = counted(links.select(high.alias("u"), low.alias("v")).filter("u <> v").distinct(), "stars")
+    if n <= small.LIMIT:
+        return stored(small.in_one_task(edges, lambda c: small.weak(*c), "node long, root long"), "stars")
     # of many links, minima are written first: then a node with very many links can be split in the join
     apart = (lambda x: stored(x, "minima")) if n > SPLIT else (lambda x: x)
     before = None
@@ -110,8 +113,12 @@ class _Rest:
 
 
 def strong(g: Graph) -> DataFrame:
-    """id, comp: the smallest vertex of the strong component. Trimming, one pivot, then colours, until nothing is left."""
-    rest = _Rest(g)
+    """id, comp: the smallest vertex of the strong component. Few edges: a walk in one task. Else trimming, one pivot, then colours, until nothing is left."""
+    edges, n, _ = counted(g.edges.select("src", "dst"), "scc-edges")
+    if n <= small.LIMIT:
+        found = stored(small.in_one_task(edges, lambda c: small.strong(*c), "node long, comp long"), "scc")
+        return g.vertices.join(found, g.vertices.id == found.node, "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    rest = _Rest(Graph(g.vertices, edges, g.name))
     rest.trim()
     if rest.left:
         rest.pivot()
@@ -182,6 +189,8 @@ def is_cyclic(g: Graph, kind: str = "weak") -> bool:
         return g.n_edges() > g.n_vertices() - n_components(g, "weak")
     if g.has_loop():
         return True
+    if g.n_edges() <= small.LIMIT:
+        return n_components(g, "strong") < g.n_vertices()
     rest = _Rest(g)
     rest.trim()
     return rest.left > 0

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.functions.storage import stored
+from wayloom.functions.storage import ship, stored
 from wayloom.functions.walk import CONTROLS, Control, DepthFirst, Tree, Visitor, walk
 from wayloom.graph import Graph
 from wayloom.operators.components import weak
@@ -40,6 +40,7 @@ def traverse(g: Graph, visitor: Callable[[dict], Visitor], schema: str, kind: st
         g.check_vertex(root)
     if g.n_vertices() > MAX_COMPONENT:
         raise ValueError(f"a walk with a visitor holds the whole graph; at most {MAX_COMPONENT} vertices")
+    ship(g.spark)
     order = CONTROLS[control]() if isinstance(control, str) else control
     names = [x.split()[0] for x in schema.split(",")]
 

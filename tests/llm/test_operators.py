@@ -249,10 +249,9 @@ def brute_hits(items, texts, window=10):
 @pytest.mark.parametrize("block_bytes", [8_000_000, 30])
 def test_decontaminate(spark, docs, none, block_bytes):
     bench = spark.createDataFrame([(*x, None) for x in ITEMS], "item_id string, text string, doc_id string")
-    some = [(i, t) for i, t, _, _ in TEXTS if i is not None and i not in (6, 7)]
-    seen = docs.filter("doc_id not in (6, 7)")
-    if block_bytes == 30:
-        some, seen = [x for x in some if x[0] != 12], seen.filter("doc_id <> 12")  # ids must differ where blocks are merged
+    more = [(None, "a lazy dog, a quick brown fox"), (12, "one id, another text: été où")]
+    some = [(i, t) for i, t, _, _ in TEXTS if i not in (6, 7)] + more
+    seen = docs.filter("coalesce(doc_id, 0) not in (6, 7)").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     got = decontaminate.digest(decontaminate.find(seen, bench, block_bytes=block_bytes))
     assert rows(got) == sorted(brute_hits(ITEMS, some), key=lambda r: tuple((x is None, str(x)) for x in r))
     assert decontaminate.find(none, bench).count() == 0

@@ -7,7 +7,8 @@ of a window of L words holds one aligned run of (L + 1) // 2 words, looked up in
 a hit is verified word by word at the places where the run stands in a window.
 
 The items are broadcast in blocks of at most `block_bytes` of text: a larger benchmark takes a pass over
-the documents for each block, and only documents with hits are merged after. Null texts have no words.
+the documents for each block, and only documents with hits are merged after, by doc_id and a hash of the
+text, so that rows without an id or with one id and different texts keep their own hits. Null texts have no words.
 Items with a null id hit words but are not listed; a repeated id counts once. Columns other than doc_id
 and text, item_id and text don't matter. An empty benchmark leaves all documents clean.
 """
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +94,7 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
     yield held
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
+SCHEMA = "doc_id long, h long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
 _ARROW = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
@@ -102,30 +104,31 @@ def hits(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int, on
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Windows(held.value, window)
         for b in batches:
-            ids, n, spans, found = [], [], [], []
+            ids, h, n, spans, found = [], [], [], [], []
             for doc_id, x in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 w = words(x)
                 s, hit = index.scan(w)
                 if s or not only_hit:
                     ids.append(doc_id)
+                    h.append(xxhash.xxh3_64_intdigest(x))
                     n.append(len(w))
                     spans.append([{"lo": lo, "hi": hi} for lo, hi in s])
                     found.append(sorted(x for x in hit if x is not None))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(spans, _ARROW), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(spans, _ARROW), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "h", "n_words", "spans", "items"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, SCHEMA)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, n_words, spans (merged word spans that are hit), items (sorted ids) for every document row."""
-    first, *more = parts = [hits(docs, items, window, bool(i)) for i, items in enumerate(blocks(benchmark, block_bytes))]
+    first, *more = [hits(docs, items, window, bool(i)) for i, items in enumerate(blocks(benchmark, block_bytes))]
     if not more:
-        return first
+        return first.drop("h")
     rest = more[0]
     for x in more[1:]:
         rest = rest.unionByName(x)
-    rest = rest.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
-    joined = first.join(rest, "doc_id", "left")
+    rest = rest.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("k")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    joined = first.join(rest, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k")), "left")
     spans = F.array_sort(F.concat("spans", F.coalesce("s", F.expr("array()").cast("array<struct<lo:int,hi:int>>"))))
     merge = F.reduce(
         spans,
@@ -133,7 +136,6 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
         lambda acc, x: F.when((F.size(acc) > 0) & (x["lo"] <= F.element_at(acc, -1)["hi"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], x["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(x))),
     )
     ids = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.expr("cast(array() as array<string>)")))))
-    assert len(parts) > 1
     return joined.select("doc_id", "n_words", merge.alias("spans"), ids.alias("items"))
 
 
@@ -143,7 +145,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, share: float = 0.0) -> DataFrame:
-    """The documents of which no more than `share` of the words is hit, in docs' columns."""
+    """The documents of which no more than `share` of the words is hit, in docs' columns. Rows of one doc_id go together."""
     name = unused(docs, "bad")
     bad = digest(find(docs, benchmark, window)).filter(F.col("n_hit") > F.col("n_words") * share).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

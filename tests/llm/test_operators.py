@@ -309,6 +309,18 @@ def test_curriculum(spark):
     assert at == sorted(at)
 
 
+def test_order_of_odd_rows(spark, docs, none):
+    """Repeated, null and clashing rows: one row out for each that the mix takes."""
+    more = spark.createDataFrame([(12, "one id, another text", "fr", "d"), (12, "another source", "fr", None)], "doc_id long, text string, lang string, source string")
+    some = docs.unionByName(more, allowMissingColumns=True)
+    mixed = mixing.mix(some)
+    got = mixing.in_order(some, mixed).collect()
+    want = mixed.filter("taken > 0").select("doc_id", "source", "size").collect()
+    assert sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in got) == sorted((str(r[0]), str(r[1]), r[2]) for r in want)
+    assert all(r["size"] == len(words(r["text"])) and 0 < r["taken"] <= 3 * r["size"] for r in got)
+    assert mixing.in_order(none, mixing.mix(none)).count() == 0
+
+
 # --- 1
 
 

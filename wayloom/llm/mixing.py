@@ -106,13 +106,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = C
 def in_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents that a mix takes, in docs' columns with size, target, taken and positions, sorted by range of the first position.
 
-    Expects one row for each doc_id in both.
+    A row finds its place by doc_id, source and size. Rows that agree in all three have the place, and the
+    words taken, of the first of them: no row comes out twice.
     """
     docs = docs.drop("size", "target", "taken", "positions")
-    name = unused(docs, "mixed_id")
-    got = mixed.filter("taken > 0").select(F.col("doc_id").alias(name), "size", "target", "taken", "positions")
-    joined = docs.join(got, F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
-    return joined.sort(F.element_at("positions", 1), "doc_id")
+    names = [unused(docs, x) for x in ("mixed_id", "mixed_source", "mixed_size")]
+    got = mixed.filter("taken > 0").groupBy(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "size"), names, strict=True)])
+    got = got.agg(F.min_by(F.struct("target", "taken", "positions"), F.struct(F.element_at("positions", 1), -F.col("taken"))).alias("place"))
+    got = got.select(*names, F.col(names[2]).alias("size"), "place.target", "place.taken", "place.positions")
+    size = F.regexp_count(empty_text("text"), F.lit(WORD)).cast("long")
+    on = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").cast("string").eqNullSafe(F.col(names[1])) & (size == F.col(names[2]))
+    return docs.join(got, on).drop(*names).sort(F.element_at("positions", 1), "doc_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,6 +363,7 @@ def test_warc(spark, tmp_path):
         ("<script>var a='<p>no</p>'</script><style>p{}</style><div class='ad'>Buy</div><div id=main><p>A long line of text that is the content of this page.</p><p>No.</p></div>", "A long line of text that is the content of this page.\n\nNo."),
         ("<article><p>Body text of the article.</p><div class='comments'><p>First!</p></div><form><p>Mail</p></form></article><aside>side</aside>", "Body text of the article."),
         ("<article><p>Cut off he", "Cut off he"),
+        ("<div class='site-masthead'>The Daily Page, news for all of us</div><div class='alert alert-info'>We have moved to another address, please take note of it.</div><div><p>The body of the page, long enough to be its main text.</p></div>", "The body of the page, long enough to be its main text."),
         ("<nav><ul><li><a>one</a>", ""),
     ],
 )

@@ -34,7 +34,7 @@ SPACED = frozenset(["br", "td", "th", "img", "wbr"])
 #: Elements whose text is never the article's.
 OUT = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input label math menu nav noscript object option script search select style svg template textarea title video".split())
 #: Words in class or id that mark a part as no article text, and roles that do.
-HINTS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byads comment commentlist comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+HINTS = frozenset("ad ads adbox adsense advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs byads comment commentlist comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 REGION = frozenset(["article", "main"])
 CONTAINER = frozenset("body div section td center".split())

@@ -311,7 +311,7 @@ def test_curriculum(spark):
 
 def test_order_of_odd_rows(spark, docs, none):
     """Repeated, null and clashing rows: one row out for each that the mix takes."""
-    more = spark.createDataFrame([(12, "one id, another text", "fr", "d"), (12, "another source", "fr", None)], "doc_id long, text string, lang string, source string")
+    more = spark.createDataFrame([(12, "one id, another text", "fr", "d"), (12, "another source", "fr", None), (12, "one id, same size", "fr", "d")], "doc_id long, text string, lang string, source string")
     some = docs.unionByName(more, allowMissingColumns=True)
     mixed = mixing.mix(some)
     got = mixing.in_order(some, mixed).collect()

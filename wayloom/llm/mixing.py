@@ -30,9 +30,9 @@ BIG = "decimal(38,0)"
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """The narrow table that all else reads: doc_id, source, size, h."""
+    """The narrow table that all else reads: doc_id, source, size, text_hash, h."""
     size = F.regexp_count(empty_text("text"), F.lit(WORD)).cast("long")
-    return stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h")), "op3-sizes")
+    return stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(empty_text("text")).alias("text_hash"), F.xxhash64("doc_id", F.lit(seed)).alias("h")), "op3-sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -77,7 +77,7 @@ def due(c: Column, target: Column, rank: Column, schedule: tuple, weights: tuple
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = CONSTANT, cap: int = 3, seed: int = 42, broadcast_sources: int = 100_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, positions: a row for each document, also those not taken.
+    """doc_id, source, text_hash, size, source_size, target, taken, positions: a row for each document, also those not taken.
 
     positions has the training time of each lap's copy, in order; the last copy may be taken in part.
     """
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = C
     # the order within a source is by bucket, then hash; equal rows of one document stand side by side
     sums = parts.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     starts = sums.select("rank", "bucket", (F.sum("words").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("words")).alias("start"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = parts.withColumn("before", F.sum("size").over(inside) - F.col("size")).join(starts, ["rank", "bucket"])
     c = F.col("start") + F.col("before")
     demand = F.floor(F.col("target") + 0.5)
@@ -100,24 +100,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedule: tuple = C
     taken = (F.col("size") * laps + F.least(F.col("size"), F.greatest(rest - c, F.lit(0)))).cast("long")
     starts_at = [c + F.col("source_size") * k for k in range(cap)]
     positions = F.array_compact(F.array(*[F.when((F.col("size") > 0) & (x < demand), due(x.cast("double"), F.col("target"), F.col("rank"), schedule, weights)) for x in starts_at]))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"))
+    return placed.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"))
 
 
 def in_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents that a mix takes, in docs' columns with size, target, taken and positions, sorted by range of the first position.
 
-    A row finds its place by doc_id, source and size. Rows that agree in all three have the place, and the
-    words taken, of the first of them: no row comes out twice.
+    A row finds its place by doc_id, source and the text's hash. Rows that agree in all three have the place,
+    and the words taken, of the first of them: no row comes out twice.
     """
     docs = docs.drop("size", "target", "taken", "positions")
-    names = [unused(docs, x) for x in ("mixed_id", "mixed_source", "mixed_size")]
-    got = mixed.filter("taken > 0").groupBy(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "size"), names, strict=True)])
-    got = got.agg(F.min_by(F.struct("target", "taken", "positions"), F.struct(F.element_at("positions", 1), -F.col("taken"))).alias("place"))
-    got = got.select(*names, F.col(names[2]).alias("size"), "place.target", "place.taken", "place.positions")
-    size = F.regexp_count(empty_text("text"), F.lit(WORD)).cast("long")
-    on = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").cast("string").eqNullSafe(F.col(names[1])) & (size == F.col(names[2]))
+    names = [unused(docs, x) for x in ("mixed_id", "mixed_source", "mixed_hash")]
+    got = mixed.filter("taken > 0").groupBy(*[F.col(c).alias(n) for c, n in zip(("doc_id", "source", "text_hash"), names, strict=True)])
+    got = got.agg(F.min_by(F.struct("size", "target", "taken", "positions"), F.struct(F.element_at("positions", 1), -F.col("taken"))).alias("place"))
+    got = got.select(*names, "place.size", "place.target", "place.taken", "place.positions")
+    on = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").cast("string").eqNullSafe(F.col(names[1])) & (F.xxhash64(empty_text("text")) == F.col(names[2]))
     return docs.join(got, on).drop(*names).sort(F.element_at("positions", 1), "doc_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source", "positions")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "text_hash", "positions")

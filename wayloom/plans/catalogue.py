@@ -18,19 +18,24 @@ ORACLE: dict[str, str] = {}
 def graph(name: str, sql: str | None = None, keep: bool = False):
     """Registers f(graph) as a query over a derived graph; sql may use e(src, dst), v(id) and t(id, n_in, n_self, n_out).
 
-    keep: the graph is written first, for queries that read it again and again.
+    keep: the graph is written first, for queries that read it again and again. What runs over partchain, which has
+    every twentieth order, runs over all orders too, as q_whole_*.
     """
 
     def add(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
-        q = f"q_{f.__name__}"
-        QUERIES[q] = lambda spark, d: f(tables.GRAPHS[name](spark, d).stored() if keep else tables.GRAPHS[name](spark, d))
-        if sql is not None:
-            ORACLE[q] = with_graph(name, sql)
+        for q, source in ({"q_": name} | ({"q_whole_": "partchain_whole"} if name == "partchain" else {})).items():
+            register(q + f.__name__, source, f, sql, keep)
         return f
 
     return add
 
 
+def register(q: str, name: str, f: Callable[[Graph], DataFrame], sql: str | None, keep: bool = False) -> None:
+    QUERIES[q] = lambda spark, d: f(tables.GRAPHS[name](spark, d).stored() if keep else tables.GRAPHS[name](spark, d))
+    if sql is not None:
+        ORACLE[q] = with_graph(name, sql)
+
+
 def with_graph(name: str, sql: str) -> str:
     """The SQL after the graph's relations; v of the event chain has events without a next one too."""
     lone = " UNION SELECT event_id + 1 FROM events" if name == "eventchain" else ""
@@ -136,8 +141,8 @@ def selfloops(g):
 
 
 for _selector, _deg in {"in": "n_in + n_self", "out": "n_out + n_self", "in_out": "n_in + n_out + 2 * n_self", "in_self_out": "n_in + n_out"}.items():
-    QUERIES[f"q_histo1_{_selector}"] = lambda spark, d, s=_selector: degree.histogram1(tables.partchain(spark, d), s)
-    ORACLE[f"q_histo1_{_selector}"] = with_graph("partchain", f"SELECT {_deg} AS deg, count(*) AS n FROM t GROUP BY 1")
+    for _q, _source in {"q_": "partchain", "q_whole_": "partchain_whole"}.items():
+        register(f"{_q}histo1_{_selector}", _source, lambda g, s=_selector: degree.histogram1(g, s), f"SELECT {_deg} AS deg, count(*) AS n FROM t GROUP BY 1")
 
 
 @graph("partchain", "SELECT n_in + n_self AS n_in, n_out + n_self AS n_out, count(*) AS n FROM t GROUP BY 1, 2")

@@ -13,11 +13,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def part_edges(lines: DataFrame) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return lines.select((F.col("l_partkey") + 1).alias("src"), (F.lead("l_partkey").over(w) + 1).alias("dst")).filter("dst is not null")
+
+
 def partchain(spark: SparkSession, d: str) -> Graph:
     """Consecutive parts of an order, for every twentieth order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select((F.col("l_partkey") + 1).alias("src"), (F.lead("l_partkey").over(w) + 1).alias("dst"))
-    return Graph.from_frames(rows.filter("dst is not null"), name="partchain")
+    return Graph.from_frames(part_edges(read(spark, d, "lineitem").filter("l_orderkey % 20 = 0")), name="partchain")
+
+
+def partchain_whole(spark: SparkSession, d: str) -> Graph:
+    """Consecutive parts of an order, for all orders."""
+    return Graph.from_frames(part_edges(read(spark, d, "lineitem")), name="partchain_whole")
 
 
 def error_chain(spark: SparkSession, d: str) -> Graph:
@@ -71,10 +79,11 @@ def nation(spark: SparkSession, d: str) -> Graph:
 #: The same edges in DuckDB's SQL, each as relations e(src, dst) and v(id).
 SQL = {
     "partchain": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_orderkey % 20 = 0) WHERE b IS NOT NULL",
+    "partchain_whole": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL",
     "error": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM events WHERE event_type = 'error') WHERE b IS NOT NULL",
     "supply": "SELECT DISTINCT o_custkey + 1 AS src, l_suppkey + 1000000 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50",
     "eventchain": "SELECT a + 1 AS src, b + 1 AS dst FROM (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL",
     "tree": "SELECT CAST(1 AS BIGINT) AS src, CAST(r_regionkey + 2 AS BIGINT) AS dst FROM region UNION SELECT n_regionkey + 2, n_nationkey + 100 FROM nation UNION SELECT c_nationkey + 100, c_custkey + 1000 FROM customer",
     "nation": "SELECT DISTINCT CAST(s_nationkey + 1 AS BIGINT) AS src, CAST(c_nationkey + 1 AS BIGINT) AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 49 AND l_discount >= 0.1",
 }
-GRAPHS = {"partchain": partchain, "error": error_chain, "supply": supply, "eventchain": eventchain, "tree": tree, "nation": nation}
+GRAPHS = {"partchain": partchain, "partchain_whole": partchain_whole, "error": error_chain, "supply": supply, "eventchain": eventchain, "tree": tree, "nation": nation}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm import decontaminate, exact_dedup, language, mixing, simhash
+from wayloom.llm import decontaminate, exact_dedup, jaccard, language, mixing, simhash
 from wayloom.llm.common import stored, table
 
 
@@ -32,12 +32,17 @@ def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of texts linked by a similarity of 0.8 or more of their five-word shingles the smallest doc_id stays."""
+    return jaccard.keepers(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix, in training order; documents that it doesn't take are left out."""
     return mixing.in_order(docs, mixing.mix(docs))
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", clean_of_tests), ("mix", mixed)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", clean_of_tests), ("near_copies", near_copies), ("mix", mixed)]
 
 #: Language ID, SimHash and the order by hashes aren't SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None

@@ -1,0 +1,72 @@
+"""Near copies by Jaccard similarity against brute force."""
+
+import numpy as np
+import pytest
+
+pytest.importorskip("wayloom.llm")
+import corpus_pipeline
+
+from wayloom.llm import jaccard, simhash
+
+
+def brute(items):
+    """The ids that stay, by the smallest id of every group."""
+    sets = []
+    for _, t in items:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    found = list(range(len(items)))
+    find = lambda x: x if found[x] == x else find(found[x])
+    for i in range(len(items)):
+        for j in range(i):
+            if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                found[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(items):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted(d for i, (d, _) in enumerate(items) if d is not None and low[find(i)] == d)
+
+
+@pytest.fixture(scope="module")
+def items():
+    """Originals, their edited copies and copies of copies, short and empty texts, a row without an id."""
+    rng, held = np.random.default_rng(1), []
+    for i in range(260):
+        if held and rng.random() < 0.7:
+            w = held[int(rng.integers(len(held)))][1].split()
+            for _ in range(int(rng.integers(1, 4))):
+                w[int(rng.integers(len(w)))] = f"e{rng.integers(10**6)}"
+        else:
+            w = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(30, 150)))]
+        held.append((i, " ".join(w)))
+    odd = [(300, None), (301, ""), (302, "A b"), (303, "a  B"), (304, held[0][1].upper()), (None, held[1][1]), (305, "one two three four five six")]
+    return held + odd
+
+
+def stay(frame, **options):
+    return sorted(r[0] for r in jaccard.keepers(frame, **options).filter("doc_id is not null").collect())
+
+
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_keepers(spark, items, bucket):
+    frame = spark.createDataFrame(items, "doc_id long, text string")
+    want = brute(items)
+    assert stay(frame, bucket=bucket) == want and len(want) < 240
+    assert jaccard.keepers(frame).filter("doc_id is null").count() == 1
+    assert jaccard.keepers(frame.filter("false")).count() == 0
+
+
+def test_one_id_two_texts(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f"), (2, "a B c d e f"), (2, "another text")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.keepers(frame).collect())) == [(1, "a b c d e f"), (2, "another text")]
+
+
+def test_stage(spark, items):
+    """The pipeline's near stages leave no pair of 0.8."""
+    frame = spark.createDataFrame([(i, t) for i, t in items if i is not None and t], "doc_id long, text string")
+    left = simhash.keepers(frame)
+    some = [(r[0], r[1]) for r in left.collect()]
+    assert len(brute(some)) < len(some)
+    out = dict(corpus_pipeline.STAGES)["near_copies"](spark, left, "")
+    assert sorted(r[0] for r in out.collect()) == brute(some)

@@ -1,0 +1,154 @@
+"""Near copies by Jaccard similarity of word shingles: MinHash tables find candidates, their shingle sets are compared.
+
+A text's words are lower-cased (A-Z) and split at ASCII white space; its set holds the runs of five words, as 64-bit
+hashes; a shorter text is one run. Equal sets are one class. 32 tables of 4 minima each miss a pair of similarity
+0.8 once in 20 million (0.5904^32), more similar ones less often; every candidate is verified, so none below is linked.
+
+Buckets of up to `bucket` classes are compared pair by pair. In larger ones all are first compared with one of them,
+another in each table; then those of one bucket that are not yet in one component are compared pair by pair.
+No pair of a bucket is given up: what is left out joins classes that are joined already.
+
+Texts without a word are near nothing. A null doc_id stays and never names a group. Columns other than doc_id and
+text don't matter; rows of one doc_id and different texts are judged one by one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from wayloom.llm.common import empty_text, map_arrow, stored, texts, unused
+from wayloom.llm.components import stars
+
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+TABLES, ROWS = 32, 4
+_RNG = np.random.default_rng(42)
+_A = _RNG.integers(0, 1 << 32, TABLES * ROWS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, TABLES * ROWS, dtype=np.uint32)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: bytes, known: dict, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of the different runs of words."""
+    w = text.translate(_LOWER).split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    v = np.fromiter((known[x] for x in w), np.uint64, len(w))
+    k = min(shingle, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + v[j : len(w) - k + 1 + j])
+    return np.unique(h)
+
+
+def tables_of(h: np.ndarray) -> np.ndarray:
+    """The keys of a set in every table."""
+    x, low = (h >> np.uint64(32)).astype(np.uint32), np.full(TABLES * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 512):
+        np.minimum(low, (x[i : i + 512, None] * _A + _B).min(0), out=low)
+    key = np.arange(TABLES, dtype=np.uint64)
+    for row in low.reshape(TABLES, ROWS).T.astype(np.uint64):
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key.view(np.int64)
+
+
+def node_of(h: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), 7)], np.uint64).view(np.int64)[0])
+
+
+def text_hash() -> Column:
+    return F.xxhash64(empty_text("text"))
+
+
+def prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, t, node, keys of every row with a word."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for b in batches:
+            rows, nodes, keys = [], [], []
+            for i, x in enumerate(texts(b)):
+                h = shingles(x, known, shingle)
+                if len(h):
+                    rows.append(i)
+                    nodes.append(node_of(h))
+                    keys.append(tables_of(h))
+            at = pa.array(rows, pa.int64())
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TABLES), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("t").take(at), pa.array(nodes, pa.int64()), flat], names=["doc_id", "t", "node", "keys"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_hash().alias("t"), F.col("text").cast("string")), scan, "doc_id long, t long, node long, keys array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: tuple[int, int], shingle: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have a similarity of least[0] / least[1] or more."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for b in batches:
+            sets = [shingles(x, known, shingle) for x in texts(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "s"])
+
+    pairs = stored(pairs, "near-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = classes.join(wanted, "node", "left_semi").select("t").distinct()
+    some = docs.select(text_hash().alias("t"), F.col("text").cast("string")).join(one, "t", "left_semi").select("text")
+    sets = stored(map_arrow(some, scan, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    p, q = least
+    close = F.greatest(F.size("x"), F.size("y")) * p <= F.least(F.size("x"), F.size("y")) * q
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(close).filter(common * q >= (F.size("x") + F.size("y") - common) * p).select("a", "b")
+
+
+def near_groups(docs: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5, bucket: int = 64) -> DataFrame:
+    """doc_id, t (the text's hash), component_id for every row with a word."""
+    rows = stored(prints(docs, shingle), "near-prints")
+    classes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.first("keys").alias("keys")), "near-classes")
+    tables = classes.select("node", F.explode("keys").alias("key"))
+    sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("a")).filter("n > 1")
+    members = stored(tables.join(sizes, "key"), "near-members")
+    few = members.filter(F.col("n") <= bucket).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    few = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    large = members.filter(F.col("n") > bucket)
+    one = large.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    first = stored(verified(few.union(one).distinct(), docs, classes, least, shingle), "near-links")
+    roots = stored(stars(first, "near-stars"), "near-roots")
+    # what a large bucket has of other components
+    apart = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = apart.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+    apart = stored(apart.join(mixed, "key"), "near-apart")
+    if not apart.isEmpty():
+        x, y = apart.alias("x"), apart.alias("y")
+        across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        second = verified(across, docs, classes, least, shingle)
+        roots = stored(stars(first.union(second), "near-stars"), "near-roots")
+    linked = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    ids = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return rows.select("doc_id", "t", "node").join(ids, "node").select("doc_id", "t", "component_id")
+
+
+def keepers(docs: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5, bucket: int = 64) -> DataFrame:
+    """docs, in their columns, without the rows whose group has a smaller doc_id."""
+    i, t = unused(docs, "gone"), unused(docs, "gone_text")
+    gone = near_groups(docs, least, shingle, bucket).filter("doc_id <> component_id").select(F.col("doc_id").alias(i), F.col("t").alias(t)).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(i)) & (text_hash() == F.col(t)), "left_anti")

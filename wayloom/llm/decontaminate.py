@@ -154,34 +154,41 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
 def drop_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
     """docs with the hit words cut out of text, and the separators inside a span with them; untouched texts stay as they are.
 
-    Each block of items is a pass over what the pass before left.
+    Each block of items is a pass that marks words of the input text; all marks are cut at the end.
     """
     import re
 
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    name = unused(docs, "spans")
+    marked = docs.withColumn(name, F.expr("cast(array() as array<struct<lo:int,hi:int>>)"))
     for items in blocks(benchmark, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
-        def cut(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def mark(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Windows(held.value, window)
             for b in batches:
-                out = []
-                for x, old in zip(texts(b), b.column("text"), strict=True):
-                    spans, _ = index.scan(words(x))
-                    if not spans:
-                        out.append(old.as_py())
-                        continue
-                    at = [m.span() for m in word.finditer(x)]
-                    keep, last = [], 0
-                    for lo, hi in spans:
-                        keep.append(x[last : at[lo][0]])
-                        last = at[hi - 1][1]
-                    out.append(b"".join([*keep, x[last:]]).decode())
-                i = b.schema.get_field_index("text")
-                yield b.set_column(i, "text", pa.array(out, pa.string()))
-
-        docs = map_arrow(docs, cut, docs.schema)
-    return docs
+                before = b.column(name).to_pylist()
+                spans = [union([(s["lo"], s["hi"]) for s in old] + index.scan(words(x))[0]) for x, old in zip(texts(b), before, strict=True)]
+                yield b.set_column(b.schema.get_field_index(name), name, pa.array([[{"lo": lo, "hi": hi} for lo, hi in s] for s in spans], _ARROW))
+
+        marked = map_arrow(marked, mark, marked.schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, old, spans in zip(texts(b), b.column("text"), b.column(name).to_pylist(), strict=True):
+                if not spans:
+                    out.append(old.as_py())
+                    continue
+                at = [m.span() for m in word.finditer(x)]
+                keep, last = [], 0
+                for s in spans:
+                    keep.append(x[last : at[s["lo"]][0]])
+                    last = at[s["hi"] - 1][1]
+                out.append(b"".join([*keep, x[last:]]).decode())
+            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+
+    return map_arrow(marked, cut, marked.schema).drop(name)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

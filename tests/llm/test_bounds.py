@@ -3,7 +3,16 @@
 import pytest
 
 pytest.importorskip("wayloom.llm")
-from wayloom.llm import decontaminate
+from wayloom.llm import decontaminate, language
+
+
+def test_counts_of_a_small_language(spark):
+    big = [(i, " ".join(chr(97 + (i * 7 + k * k) % 26) * 3 for k in range(60)), "aa") for i in range(80)]
+    frame = spark.createDataFrame([*big, *((100 + i, "żółć gęślą jaźń", "zz") for i in range(3))], "doc_id long, text string, lang string")
+    whole = dict(zip(*language.counts(frame, 2000, 200, 10**6), strict=True))
+    langs, cut = language.counts(frame, 2000, 200, 2 * len(whole["zz"][0]))
+    got = dict(zip(langs, cut, strict=True))
+    assert sorted(got["zz"][0]) == sorted(whole["zz"][0]) and len(got["aa"][0]) == len(whole["zz"][0]) < len(whole["aa"][0])
 
 
 def test_overlapping_items_in_blocks(spark):

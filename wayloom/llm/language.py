@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayloom.llm.common import map_arrow, table
@@ -74,7 +74,9 @@ def counts(docs: DataFrame, sample_docs: int, max_languages: int, max_grams: int
                     g, n = np.unique(runs(held[i : i + 256]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    grams = map_arrow(drawn, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
+    grams = map_arrow(drawn, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # a language's largest counts first, in turn with the others': the cut leaves small languages whole
+    grams = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).orderBy("r", "lang").limit(max_grams).drop("r").toArrow()
     lang_of, g, n = np.array(grams.column("lang").to_pylist(), object), grams.column("gram").to_numpy(), grams.column("n").to_numpy()
     return langs, [(g[lang_of == x], n[lang_of == x]) for x in langs]
 

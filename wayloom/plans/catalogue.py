@@ -315,7 +315,7 @@ def cyclic_tree(g):
 
 @graph("eventchain", "SELECT count(DISTINCT user_id) AS ncomp, count(DISTINCT user_id) = 1 AS weak, false AS strong FROM events", keep=True)
 def connected(g):
-    return g.spark.createDataFrame([(components.n_components(g), components.is_connected(g), g.n_vertices() < 2)], "ncomp long, weak boolean, strong boolean")
+    return g.spark.createDataFrame([(components.n_components(g), components.is_connected(g), components.is_connected(g, "strong"))], "ncomp long, weak boolean, strong boolean")
 
 
 @graph("nation", f", RECURSIVE {SCC} SELECT count(DISTINCT comp) AS ncomp, count(DISTINCT comp) = 1 AS connected FROM k", keep=True)

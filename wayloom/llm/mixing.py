@@ -119,4 +119,4 @@ def in_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source", "text_hash", "positions")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "text_hash")

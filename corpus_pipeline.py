@@ -13,7 +13,10 @@ from wayloom.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or likelier not in any learned language than in one, go."""
+    """Documents without a letter, or with a probability under 0.5 in the likeliest learned language, go.
+
+    The probability is among the learned languages: a long text in none of them, or of random letters, mostly stays.
+    """
     return language.accepted(docs, language.train(docs))
 
 

@@ -296,19 +296,37 @@ def test_curriculum(spark):
     """Shares that change: words due before time t follow the integral of the schedule."""
     frame = spark.createDataFrame([(i, "a b c d", "s%d" % (i % 2)) for i in range(4000)], "doc_id long, text string, source string")
     schedule = ((0.0, (1.0, 0.0)), (0.5, (1.0, 1.0)), (1.0, (0.0, 1.0)))
-    got = mixing.mix(frame, weights=(1, 1), schedule=schedule).collect()
+    assert mixing.integrals(schedule) == (750, 750)
+    got = mixing.mix(frame, schedule=schedule).collect()
     share = lambda t: (t - t * t / 2) if t <= 0.5 else 0.375 + (t - 0.5) * (1 - (t - 0.5)) / 2 + 0
     first = sorted(p for r in got if r["source"] == "s0" for p in r["positions"])
     for t in (0.25, 0.5):
         due = sum(p < t for p in first) / len(first)
         total = 0.375 + 0.125
         assert abs(due - share(t) / total) < 0.01
-    ordered = mixing.in_order(frame, mixing.mix(frame, weights=(1, 1), schedule=schedule))
+    ordered = mixing.in_order(frame, mixing.mix(frame, schedule=schedule))
     assert ordered.count() == sum(r["taken"] > 0 for r in got)
     at = [r["positions"][0] for r in ordered.collect()]
     assert at == sorted(at)
 
 
+def test_positions_decide(spark):
+    """The default schedule varies, its integrals are the weights, taken goes through the positions, and its share of each class changes over time."""
+    assert mixing.integrals(mixing.CURRICULUM) == (5000, 2000, 1000)
+    frame = spark.createDataFrame([(i, "a b " * (1 + i % 7), "s%d" % (i % 3)) for i in range(9000)], "doc_id long, text string, source string")
+    mixed = mixing.mix(frame)
+    plan = mixed.select("taken")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sqrt" in plan
+    got = mixed.collect()
+    words_at = lambda lo, hi, s: sum(r["size"] for r in got if r["source"] == s for p in r["positions"] if lo <= p < hi)
+    for lo, hi, weights in ((0.0, 0.5, (5.5, 1.75, 0.75)), (0.5, 1.0, (4.5, 2.25, 1.25))):
+        n = [words_at(lo, hi, f"s{k}") for k in range(3)]
+        # the first class's target stops at three times its size, so the shares are those of what each source takes
+        target = [next(r["target"] for r in got if r["source"] == f"s{k}") for k in range(3)]
+        want = [t * w / (5, 2, 1)[k] / 2 for k, (t, w) in enumerate(zip(target, weights, strict=True))]
+        assert all(abs(a - b) / b < 0.02 for a, b in zip(n, want, strict=True))
+
+
 def test_order_of_odd_rows(spark, docs, none):
     """Repeated, null and clashing rows: one row out for each that the mix takes."""
     more = spark.createDataFrame([(12, "one id, another text", "fr", "d"), (12, "another source", "fr", None), (12, "one id, same size", "fr", "d")], "doc_id long, text string, lang string, source string")
@@ -316,8 +334,9 @@ def test_order_of_odd_rows(spark, docs, none):
     mixed = mixing.mix(some)
     got = mixing.in_order(some, mixed).collect()
     want = mixed.filter("taken > 0").select("doc_id", "source", "size").collect()
-    assert sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in got) == sorted((str(r[0]), str(r[1]), r[2]) for r in want)
-    assert all(r["size"] == len(words(r["text"])) and 0 < r["taken"] <= 3 * r["size"] for r in got)
+    # docs has size and taken of its own (null): the mix's have other names
+    assert sorted((str(r["doc_id"]), str(r["source"]), r["_size"]) for r in got) == sorted((str(r[0]), str(r[1]), r[2]) for r in want)
+    assert all(r["_size"] == len(words(r["text"])) and 0 < r["_taken"] <= 3 * r["_size"] and r["size"] is r["taken"] is None for r in got)
     assert mixing.in_order(none, mixing.mix(none)).count() == 0
 
 

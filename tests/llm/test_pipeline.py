@@ -7,10 +7,12 @@ import pytest
 
 pytest.importorskip("wayloom.llm")
 import corpus_pipeline
+from pyspark.sql import functions as F
 
-from wayloom.llm import registry
+from wayloom.llm import decontaminate, registry
 
-from .test_operators import brute_groups, brute_hits, fingerprint, words
+from .test_operators import brute_hits, words
+from .test_similarity import brute
 
 FRENCH = "le petit garçon est allé à la plage avec sa mère et il a mangé une pomme près de la forêt numéro %s"
 ENGLISH = "the small boy went to the beach with his mother and he ate an apple close to the forest number %s"
@@ -51,9 +53,7 @@ def test_stages(spark, corpus):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text[i]), i)
     assert after == sorted(first.values()) and len(after) < len(before)
     before, after = kept["near_dedup"]
-    groups = brute_groups([(i, fingerprint(text[i])) for i in before])
-    assert after == [i for i, g in zip(before, groups, strict=True) if i == g]
-    assert len({200, 201, 202, 203} & set(after)) == len({g for i, g in zip(before, groups, strict=True) if i >= 200})
+    assert after == brute([(i, text[i]) for i in before]) and {200, 201, 202, 203} & set(after) == {200}
     before, after = kept["decontaminate"]
     hit = {r[0] for r in brute_hits(tests, [(i, text[i]) for i in before]) if r[5]}
     assert after == sorted(set(before) - hit) and hit == {103}
@@ -77,3 +77,23 @@ def test_registered(spark, corpus):
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(registry.oracle_sql()) <= set(names)
     assert corpus_pipeline.run(spark, corpus[0]).count() > 0
+
+
+def test_no_row_is_lost(spark):
+    """Rows of one doc_id with different texts, and rows without a doc_id, through the stages that drop rows."""
+    rows = [(1, "same text here", "en", "a"), (2, "same text here", "en", "a"), (2, "unique other words entirely", "en", "b"), (None, "same text here", "en", None), (None, "a lone row without id", None, "c"), (None, "a lone row without id", None, "c")]
+    docs = spark.createDataFrame([(*r, 1, "own") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size string")
+    want = sorted([(1, "same text here"), (2, "unique other words entirely"), (None, "a lone row without id")], key=str)
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    assert got(stages["exact_dedup"](spark, docs, "")) == got(stages["near_dedup"](spark, docs, "")) == want
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert got(stages["language_id"](spark, none, "")) == sorted(((r[0], r[1]) for r in rows), key=str)
+    items = spark.createDataFrame([("x", "same text here")], "item_id string, text string")
+    assert got(decontaminate.drop_documents(docs, items)) == sorted([(2, "unique other words entirely"), *[(None, "a lone row without id")] * 2], key=str)
+    mix = stages["mix"](spark, docs, "")
+    assert mix.columns[: len(docs.columns)] == docs.columns and {r["size"] for r in mix.collect()} == {"own"}
+    # the whole chain, on one frame
+    for name in ("language_id", "exact_dedup", "near_dedup"):
+        none = stages[name](spark, none, "")
+    assert got(none) == want

@@ -6,7 +6,7 @@ import pytest
 pytest.importorskip("wayloom.llm")
 import corpus_pipeline
 
-from wayloom.llm import jaccard, simhash
+from wayloom.llm import simhash, similarity
 
 
 def brute(items):
@@ -45,28 +45,92 @@ def items():
 
 
 def stay(frame, **options):
-    return sorted(r[0] for r in jaccard.keepers(frame, **options).filter("doc_id is not null").collect())
+    return sorted(r[0] for r in simhash.keepers(frame, **options).filter("doc_id is not null").collect())
 
 
-@pytest.mark.parametrize("bucket", [64, 1])
-def test_keepers(spark, items, bucket):
+def test_keepers(spark, items):
     frame = spark.createDataFrame(items, "doc_id long, text string")
     want = brute(items)
-    assert stay(frame, bucket=bucket) == want and len(want) < 240
-    assert jaccard.keepers(frame).filter("doc_id is null").count() == 1
-    assert jaccard.keepers(frame.filter("false")).count() == 0
+    assert stay(frame) == want and len(want) < 240
+    # the row without an id is equal in words to held[1] and comes after it
+    assert simhash.keepers(frame).filter("doc_id is null").count() == 0
+    assert simhash.keepers(frame.filter("false")).count() == 0
+
+
+def test_cells(spark, items):
+    """Buckets cut into cells of blocks, without the star rounds' help, find the same pairs as in one."""
+    frame = spark.createDataFrame(items, "doc_id long, text string")
+    masks = simhash.covering_masks(2)
+    got = [sorted(map(tuple, similarity.near_groups(frame, masks, block=n).collect()), key=str) for n in (2048, 3)]
+    assert got[0] == got[1]
+
+
+def test_across(spark):
+    """A bucket in which no star links anything: all pairs of different components that agree in enough minima."""
+    rng = np.random.default_rng(5)
+    signs = rng.integers(0, 3, (90, similarity.SIGNS)).astype(np.uint8)
+    for k in range(30):
+        signs[60 + k] = signs[k]
+        signs[60 + k][: k + 1] += 7
+    roots = [k % 50 for k in range(90)]
+    classes = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(signs)], "node long, signs binary")
+    mixed = spark.createDataFrame([(key, k, roots[k]) for key in (1, 2) for k in range(90) if key == 1 or k % 2], "key long, node long, root long")
+    want = {(i, j) for i in range(90) for j in range(i) if roots[i] != roots[j] and (signs[i] == signs[j]).sum() >= 75}
+    want = {(min(p), max(p)) for p in want}
+    for block in (2048, 7):
+        assert {tuple(r) for r in similarity.across(mixed, classes, 75, block).collect()} == want and want
 
 
 def test_one_id_two_texts(spark):
     frame = spark.createDataFrame([(1, "a b c d e f"), (2, "a B c d e f"), (2, "another text")], "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.keepers(frame).collect())) == [(1, "a b c d e f"), (2, "another text")]
+    assert sorted(map(tuple, simhash.keepers(frame).collect())) == [(1, "a b c d e f"), (2, "another text")]
 
 
 def test_stage(spark, items):
-    """The pipeline's near stages leave no pair of 0.8."""
+    """The pipeline's near stage leaves no pair of 0.8."""
     frame = spark.createDataFrame([(i, t) for i, t in items if i is not None and t], "doc_id long, text string")
-    left = simhash.keepers(frame)
-    some = [(r[0], r[1]) for r in left.collect()]
-    assert len(brute(some)) < len(some)
-    out = dict(corpus_pipeline.STAGES)["near_copies"](spark, left, "")
-    assert sorted(r[0] for r in out.collect()) == brute(some)
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame, "")
+    assert sorted(r[0] for r in out.collect()) == brute([(r[0], r[1]) for r in frame.collect()])
+    left = sorted((r[0], r[1]) for r in out.collect())
+    assert brute(left) == [i for i, _ in left]
+
+
+def test_recall_on_the_test_table(spark):
+    """All pairs of 0.8 and more among the documents of the smallest table, by brute force."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables")
+    frame = spark.read.parquet(path).select("doc_id", "text")
+    items = [(r[0], r[1]) for r in frame.collect()]
+    assert stay(frame) == brute_by_shingle(items)
+
+
+def brute_by_shingle(items):
+    """As brute(), with the pairs that share a shingle only; texts without a word stay."""
+    from collections import Counter, defaultdict
+
+    sets, by = [], defaultdict(list)
+    for k, (_, t) in enumerate(items):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        for s in sets[-1]:
+            by[s].append(k)
+    found = list(range(len(items)))
+
+    def find(x):
+        while found[x] != x:
+            x = found[x]
+        return x
+
+    for i in range(len(items)):
+        common = Counter(j for s in sets[i] for j in by[s] if j < i)
+        for j, n in common.items():
+            if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                found[b] = a
+    low = {}
+    for i, (d, _) in enumerate(items):
+        low[find(i)] = min(low.get(find(i), d), d)
+    return sorted(d for i, (d, _) in enumerate(items) if low[find(i)] == d)

@@ -1,18 +1,17 @@
-"""What the training-data operators share: the shared folder, stored tables, Arrow mapping."""
+"""What the training-data operators share: Arrow mapping, texts, and rows told apart by id and text."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayloom.functions.storage import counted, drop, new_path, scratch, ship, stored
+
+__all__ = ["counted", "drop", "new_path", "scratch", "ship", "stored"]
+
 #: ASCII white space as the contracts define it, for Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,47 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset (local mode, tests) a temporary folder is made, set, and removed at exit.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_wayloom_dir", None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        made = tempfile.mkdtemp(prefix="wayloom-")
-        atexit.register(shutil.rmtree, made, True)
-        found = sc._wayloom_dir = f"file://{made}"
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, for clusters on which it isn't installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_wayloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    holder = tempfile.mkdtemp(prefix="wayloom-zip-")
-    atexit.register(shutil.rmtree, holder, True)
-    sc.addPyFile(shutil.make_archive(f"{holder}/wayloom", "zip", top, "wayloom"))
-    sc._wayloom_shipped = True
-
-
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
@@ -91,3 +49,30 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, a stored table of short rows, marked for broadcast where it has no more than so many."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def text_hash() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(empty_text("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """docs, in their columns, without the rows of gone (doc_id, t), and with one row of each of repeated (doc_id, t).
+
+    Both are stored tables without repeats; t is text_hash(). Of rows that agree in doc_id and text the first in the
+    order of all their columns stays. Null ids are compared like values.
+    """
+    names = [unused(docs, "gone_id"), unused(docs, "gone_text"), unused(docs, "gone_place")]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (text_hash() == F.col(names[1]))
+    keys = lambda x: broadcast_if_small(x.select(F.col("doc_id").alias(names[0]), F.col("t").alias(names[1])), small)
+    left = docs.join(keys(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return left
+    again = left.join(keys(repeated), same, "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", text_hash()).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    return left.join(keys(repeated), same, "left_anti").union(again.withColumn(names[2], place).filter(F.col(names[2]) == 1).drop(names[2]))

@@ -6,11 +6,13 @@
    each range of quotients, and hands them over as bytes; the filters of a range are merged by sorted
    remainders, counts added, nothing lost: a fingerprint is its quotient and its whole remainder.
    A range holds `range_rows` rows' fingerprints in the mean, so no merge grows with the input.
-3. Rows whose fingerprint has a count above one go to byte verification: their normalised texts are
-   grouped as bytes (partial sums before the shuffle), which gives the keeper and the group's size.
+3. Rows whose fingerprint has a count above one go to byte verification: a second reading of the texts
+   passes only them (by the hash of the whole text), normalises them and groups them as bytes (partial sums
+   before the shuffle), which gives the keeper and the group's size. No other text is shuffled.
 
-Empty texts are equal to each other. Rows of one doc_id repeated are members like any other. Columns
-other than doc_id and text don't matter; an empty table gives an empty result.
+Empty texts are equal to each other. Rows of one doc_id repeated are members like any other, ties in doc_id go
+by the text's hash. Very long texts are hashed and compared whole. Columns other than doc_id and text don't
+matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import SPACE, empty_text, map_arrow, stored, table, texts, unused
+from wayloom.llm.common import SPACE, broadcast_if_small, counted, empty_text, map_arrow, stored, table, text_hash, texts, without
 
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -84,20 +86,16 @@ class CountingQuotientFilter:
         return cls(q, *parts)
 
 
-def merged(filters: Iterator[CountingQuotientFilter]) -> CountingQuotientFilter:
-    """Merges filters two at a time by their sorted fingerprints, adding counts."""
-    total: CountingQuotientFilter | None = None
-    for x in filters:
-        if total is None:
-            total = x
-            continue
-        (f, c), (g, d) = total.items(), x.items()
-        total = CountingQuotientFilter.build(np.concatenate([f, g]), np.concatenate([c, d]))
-    return total or CountingQuotientFilter.build(np.zeros(0, np.uint64))
+def merged(filters: Iterable[CountingQuotientFilter]) -> CountingQuotientFilter:
+    """Merges all filters at once: their sorted runs, one after the other, are merged run by run and counts added."""
+    pairs = [x.items() for x in filters]
+    if not pairs:
+        return CountingQuotientFilter.build(np.zeros(0, np.uint64))
+    return CountingQuotientFilter.build(np.concatenate([f for f, _ in pairs]), np.concatenate([c for _, c in pairs]))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp long, sha binary of the normalised text."""
+    """doc_id, t (the text's hash), fp long, sha binary of the normalised text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,9 +104,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 x = _RUN.sub(b" ", x)
                 fp.append(xxhash.xxh3_64_intdigest(x))
                 sha.append(hashlib.sha256(x).digest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sha, pa.binary())], names=["doc_id", "fp", "sha"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sha, pa.binary())], names=["doc_id", "t", "fp", "sha"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scan, "doc_id long, fp long, sha binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_hash().alias("t"), F.col("text").cast("string")), scan, "doc_id long, t long, fp long, sha binary")
 
 
 def repeated(narrow: DataFrame, rows: int, range_rows: int = 4_000_000, block: int = 500_000) -> DataFrame:
@@ -140,51 +138,59 @@ def repeated(narrow: DataFrame, rows: int, range_rows: int = 4_000_000, block: i
         yield from flush()
 
     def merge(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by range: one range's filter is held at a time."""
-        now, total = None, None
+        """Rows come sorted by range: one range's filters are held at a time, and merged at once."""
+        now, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            f, c = total.items()
+            f, c = merged(held).items()
             yield pa.RecordBatch.from_arrays([pa.array(f[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["fp", "n"])
 
         for b in groups:
             for part, blob in zip(b.column("part").to_pylist(), b.column("filter"), strict=True):
-                x = CountingQuotientFilter.from_bytes(blob.as_py())
-                if part != now and total is not None:
+                if part != now and held:
                     yield from out()
-                now, total = part, x if part != now else merged(iter([total, x]))
-        if total is not None:
+                    held = []
+                now = part
+                held.append(CountingQuotientFilter.from_bytes(blob.as_py()))
+        if held:
             yield from out()
 
     parts = map_arrow(narrow.select("fp"), local, "part int, filter binary")
     return map_arrow(parts.repartition(ranges, "part").sortWithinPartitions("part"), merge, "fp long, n long")
 
 
+def grouped(docs: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """doc_id, t, sha, keep (none, doc_id, t of the row that stays), group_size for every row; keep is null where the text is alone."""
+    narrow, rows, _ = counted(fingerprints(docs), "op9-narrow")
+    dup = stored(repeated(narrow, rows), "op9-repeated")
+    # the texts that share a fingerprint, told by their hash as they are read: no other text is normalised again or shuffled
+    wanted = stored(narrow.join(dup, "fp", "left_semi").select("t").distinct(), "op9-wanted")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", text_hash())
+    some = some.join(broadcast_if_small(wanted, small), "t", "left_semi")
+    norm = some.select("doc_id", "t", F.regexp_replace(empty_text("text"), SPACE, " ").alias("norm"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    verified = norm.groupBy("norm").agg(F.min(first).alias("keep"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    groups = stored(verified.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "group_size"), "op9-groups")
+    return narrow.drop("fp").join(groups, "sha", "left")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
-    narrow = stored(fingerprints(docs), "op9-narrow")
-    dup = stored(repeated(narrow, narrow.count()), "op9-repeated")
-    candidates = narrow.join(dup, "fp", "left_semi").select("doc_id").distinct()
-    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(empty_text("text"), SPACE, " ").alias("norm"))
-    verified = norm.join(candidates, norm.doc_id.eqNullSafe(candidates.doc_id), "left_semi").groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    groups = verified.filter("n > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", F.col("n").alias("group_size"))
-    out = narrow.join(groups, "sha", "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    keep = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id"))
+    return grouped(docs).select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keepers(docs: DataFrame) -> DataFrame:
-    """docs, in their columns, with one row of each group of equal texts: that of the smallest doc_id."""
-    found = stored(dedup(docs), "op9-found")
-    name = unused(docs, "gone")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
-    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not again.head(1):
-        return left
-    # rows of one doc_id repeated with an equal text: any one of them stays
-    norm = F.sha2(F.regexp_replace(empty_text("text"), SPACE, " "), 256)
-    return left.withColumn(name, norm).dropDuplicates(["doc_id", name]).drop(name)
+    """docs, in their columns, with one row of each group of equal texts: that of the smallest doc_id.
+
+    Rows of one doc_id and different texts are judged one by one. Rows without a doc_id come after all others; of
+    several rows of the keeper's doc_id one stays, by text and columns.
+    """
+    found = stored(grouped(docs), "op9-found")
+    keep = F.col("keep").isNull() | F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("t") == F.col("keep.t"))
+    gone = stored(found.filter(~keep).select("doc_id", "t").distinct(), "op9-gone")
+    again = found.filter(keep).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "t")
+    return without(docs, gone, stored(again, "op9-again"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

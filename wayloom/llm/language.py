@@ -188,13 +188,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """docs, in their columns, without those that are `und` or less likely than `least` in their language."""
+    """docs, in their columns, without those that are `und` or less likely than `least` in their language.
+
+    Without a model (no row has a language to learn) all documents stay.
+    """
+    if model is None:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            rows = [i for i, t in enumerate(b.column("text")) if m and t.is_valid and has_letter(t.as_py())]
+            rows = [i for i, t in enumerate(b.column("text")) if t.is_valid and has_letter(t.as_py())]
             keep = []
             for k in range(0, len(rows), 512):
                 some = rows[k : k + 512]

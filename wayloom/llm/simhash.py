@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import map_arrow, stored, table, texts, unused
+from wayloom.llm import similarity
+from wayloom.llm.common import map_arrow, stored, table, texts, without
 from wayloom.llm.components import stars
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -105,11 +106,17 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket: int
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keepers(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs, in their columns, without the rows whose group has a smaller doc_id."""
-    name = unused(docs, "gone")
-    gone = near_groups(docs, shingle, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+def keepers(docs: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5) -> DataFrame:
+    """docs, in their columns, with one row of each group of near copies: that of the smallest doc_id.
+
+    Groups join texts of a Jaccard similarity of 0.8 or more on their sets of five-word shingles: candidates of the
+    covering tables and of MinHash tables, all verified (see similarity). Texts without a word stay, all of them.
+    """
+    found = stored(similarity.near_groups(docs, covering_masks(2), least, shingle), "near-found")
+    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("keep_t"))
+    gone = stored(found.filter(~keep).select("doc_id", "t").distinct(), "near-gone")
+    again = found.filter(keep).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "t")
+    return without(docs, gone, stored(again, "near-again"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,21 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash tables find candidates, their shingle sets are compared.
+"""Near copies by Jaccard similarity of word shingles: the candidates and their verification for SimHash dedup.
 
 A text's words are lower-cased (A-Z) and split at ASCII white space; its set holds the runs of five words, as 64-bit
-hashes; a shorter text is one run. Equal sets are one class. 32 tables of 4 minima each miss a pair of similarity
-0.8 once in 20 million (0.5904^32), more similar ones less often; every candidate is verified, so none below is linked.
+hashes; a shorter text is one run. Equal sets are one class. A class has 39 table keys: the seven covering masks of
+radius 2 over a SimHash of its set, and 32 keys of four MinHash minima each. At a similarity of 0.8 most pairs differ
+in 4 to 12 of 64 SimHash bits, beyond any covering code of bearable size, so the MinHash tables carry the recall: a
+pair of exactly 0.8 shares none of them once in 20 million (0.5904^32), more similar ones less often.
 
-Buckets of up to `bucket` classes are compared pair by pair. In larger ones all are first compared with one of them,
-another in each table; then those of one bucket that are not yet in one component are compared pair by pair.
-No pair of a bucket is given up: what is left out joins classes that are joined already.
+Every candidate is compared: first by 128 minima of 8 bits (below 75 equal ones a pair of 0.8 falls once in a billion),
+then by the shingle sets themselves, so no pair below the similarity is linked. Three rounds keep the comparisons few:
 
-Texts without a word are near nothing. A null doc_id stays and never names a group. Columns other than doc_id and
-text don't matter; rows of one doc_id and different texts are judged one by one.
+1. in four of the tables the members of a bucket are compared with one of them;
+2. in all tables the same, where the two are not yet in one component;
+3. in all tables all pairs of a bucket whose members are not yet in one component; buckets above `block` members are
+   cut into cells of two blocks, so that no task holds a bucket. A pair that is left out joins what is joined already.
+
+Texts without a word are near nothing. Columns other than doc_id and text don't matter; rows of one doc_id and
+different texts are told apart by the text's hash. An empty table gives an empty result; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,17 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import empty_text, map_arrow, stored, texts, unused
+from wayloom.llm.common import broadcast_if_small, map_arrow, stored, text_hash, texts
 from wayloom.llm.components import stars
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-TABLES, ROWS = 32, 4
+TABLES, ROWS, FIRST = 32, 4, 4
+SIGNS = TABLES * ROWS
 _RNG = np.random.default_rng(42)
-_A = _RNG.integers(0, 1 << 32, TABLES * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, TABLES * ROWS, dtype=np.uint32)
+_A = _RNG.integers(0, 1 << 32, SIGNS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, SIGNS, dtype=np.uint32)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
@@ -56,51 +64,75 @@ def shingles(text: bytes, known: dict, shingle: int = 5) -> np.ndarray:
     k = min(shingle, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + v[j : len(w) - k + 1 + j])
+        h = _mixed(h * _ODD + v[j : len(w) - k + 1 + j])
     return np.unique(h)
 
 
-def tables_of(h: np.ndarray) -> np.ndarray:
-    """The keys of a set in every table."""
-    x, low = (h >> np.uint64(32)).astype(np.uint32), np.full(TABLES * ROWS, 0xFFFFFFFF, np.uint32)
+def simhash_of(h: np.ndarray) -> int:
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 13):
+        votes += np.unpackbits(h[i : i + (1 << 13)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(votes * 2 > len(h)).tolist()))
+
+
+def signs_of(h: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The keys of a set in every table, and the low bytes of its minima."""
+    x, low = (h >> np.uint64(32)).astype(np.uint32), np.full(SIGNS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 512):
         np.minimum(low, (x[i : i + 512, None] * _A + _B).min(0), out=low)
     key = np.arange(TABLES, dtype=np.uint64)
     for row in low.reshape(TABLES, ROWS).T.astype(np.uint64):
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
-    return key.view(np.int64)
+        key = _mixed(key * _ODD + row)
+    cover = _mixed((masks & np.uint64(simhash_of(h))) * _ODD + np.arange(TABLES, TABLES + len(masks), dtype=np.uint64))
+    return np.r_[key, cover].view(np.int64), _mixed(low.astype(np.uint64)).astype(np.uint8).tobytes()
 
 
 def node_of(h: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), 7)], np.uint64).view(np.int64)[0])
 
 
-def text_hash() -> Column:
-    return F.xxhash64(empty_text("text"))
-
-
-def prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, t, node, keys of every row with a word."""
+def prints(docs: DataFrame, shingle: int, masks: list[int]) -> DataFrame:
+    """doc_id, t, node, keys, signs of every row with a word."""
+    cover = np.array(masks, np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
-            rows, nodes, keys = [], [], []
+            rows, nodes, keys, signs = [], [], [], []
             for i, x in enumerate(texts(b)):
                 h = shingles(x, known, shingle)
                 if len(h):
                     rows.append(i)
                     nodes.append(node_of(h))
-                    keys.append(tables_of(h))
+                    k, s = signs_of(h, cover)
+                    keys.append(k)
+                    signs.append(s)
             at = pa.array(rows, pa.int64())
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TABLES), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("t").take(at), pa.array(nodes, pa.int64()), flat], names=["doc_id", "t", "node", "keys"])
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (TABLES + len(cover)))
+            flat = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("t").take(at), pa.array(nodes, pa.int64()), flat, pa.array(signs, pa.binary())], names=["doc_id", "t", "node", "keys", "signs"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_hash().alias("t"), F.col("text").cast("string")), scan, "doc_id long, t long, node long, keys array<long>, signs binary")
+
+
+def _signs(c: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SIGNS)
+
+
+def likely(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
+    """The pairs (a, b) of classes that agree in enough of their minima."""
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_hash().alias("t"), F.col("text").cast("string")), scan, "doc_id long, t long, node long, keys array<long>")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = (_signs(b.column("x")) == _signs(b.column("y"))).sum(1)
+            yield b.select(["a", "b"]).filter(pa.array(same >= agree))
+
+    both = pairs.join(classes.select(F.col("node").alias("a"), F.col("signs").alias("x")), "a").join(classes.select(F.col("node").alias("b"), F.col("signs").alias("y")), "b")
+    return map_arrow(both.select("a", "b", "x", "y"), scan, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: tuple[int, int], shingle: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have a similarity of least[0] / least[1] or more."""
+    """The pairs (a, b) of classes whose sets have a similarity of least[0] / least[1] or more, stored."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -108,47 +140,104 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: tuple
             sets = [shingles(x, known, shingle) for x in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "s"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q = least
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = (np.asarray(v.values) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * q >= (len(x) + len(y) - both) * p)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     pairs = stored(pairs, "near-pairs")
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = classes.join(wanted, "node", "left_semi").select("t").distinct()
-    some = docs.select(text_hash().alias("t"), F.col("text").cast("string")).join(one, "t", "left_semi").select("text")
-    sets = stored(map_arrow(some, scan, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    one = stored(classes.join(wanted, "node", "left_semi").select("t").distinct(), "near-wanted")
+    some = docs.select(text_hash().alias("t"), F.col("text").cast("string")).join(broadcast_if_small(one, 1_000_000), "t", "left_semi")
+    sets = stored(map_arrow(some.dropDuplicates(["t"]).select("text"), scan, "node long, s array<long>"), "near-sets")
     p, q = least
-    close = F.greatest(F.size("x"), F.size("y")) * p <= F.least(F.size("x"), F.size("y")) * q
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(close).filter(common * q >= (F.size("x") + F.size("y") - common) * p).select("a", "b")
+    size = sets.select("node", F.size("s").alias("n"))
+    # sizes first: sets are joined only where the sizes allow the similarity
+    fit = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(size.select(F.col("node").alias("b"), "n"), "b")
+    fit = fit.filter(F.greatest("m", "n") * p <= F.least("m", "n") * q).select("a", "b")
+    both = fit.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return stored(map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long"), "near-links")
 
 
-def near_groups(docs: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5, bucket: int = 64) -> DataFrame:
-    """doc_id, t (the text's hash), component_id for every row with a word."""
-    rows = stored(prints(docs, shingle), "near-prints")
-    classes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.first("keys").alias("keys")), "near-classes")
-    tables = classes.select("node", F.explode("keys").alias("key"))
+def across(mixed: DataFrame, classes: DataFrame, agree: int, block: int) -> DataFrame:
+    """Likely pairs (a, b) of different components within the buckets of (key, node, root), cell by cell."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            node, root, part = (t.column(c).to_numpy() for c in ("node", "root", "part"))
+            signs = _signs(t.column("signs"))
+            one = len(np.unique(part)) == 1
+            for i in range(len(node)):
+                others = np.flatnonzero(root != root[i])
+                others = others[others > i] if one else others[(part[others] > part[i])]
+                near = others[(signs[others] == signs[i]).sum(1) >= agree]
+                if len(near):
+                    a, b = np.minimum(node[i], node[near]), np.maximum(node[i], node[near])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        now = None
+        for b in batches:
+            cells = list(zip(b.column("key").to_pylist(), b.column("i").to_pylist(), b.column("j").to_pylist(), strict=True))
+            start = 0
+            for k in range(1, len(cells) + 1):
+                if k == len(cells) or cells[k] != cells[start]:
+                    if cells[start] != now and held:
+                        yield from out()
+                        held.clear()
+                    now = cells[start]
+                    held.append(b.slice(start, k - start))
+                    start = k
+        if held:
+            yield from out()
+
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    rows = mixed.join(sizes, "key").join(classes.select("node", "signs"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    # a cell of a block with itself serves the pairs inside the block; of two blocks, those between them
+    dealt = cells.select("key", "i", "j", "part", "node", "root", "signs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return map_arrow(dealt, scan, "a long, b long").distinct()
+
+
+def near_groups(docs: DataFrame, masks: list[int], least: tuple[int, int] = (4, 5), shingle: int = 5, block: int = 2048, agree: int = 75) -> DataFrame:
+    """doc_id, t (the text's hash), component_id, keep_t for every row with a word.
+
+    component_id is the smallest doc_id of the component (null last), keep_t the smallest hash of that id's texts.
+    """
+    rows = stored(prints(docs, shingle, masks), "near-prints")
+    classes = stored(rows.groupBy("node").agg(F.min("t").alias("t"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"), F.first("keys").alias("keys"), F.first("signs").alias("signs")), "near-classes")
+    tables = classes.select("node", F.posexplode("keys").alias("at", "key"))
     sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("a")).filter("n > 1")
-    members = stored(tables.join(sizes, "key"), "near-members")
-    few = members.filter(F.col("n") <= bucket).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    few = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    large = members.filter(F.col("n") > bucket)
-    one = large.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    first = stored(verified(few.union(one).distinct(), docs, classes, least, shingle), "near-links")
-    roots = stored(stars(first, "near-stars"), "near-roots")
-    # what a large bucket has of other components
-    apart = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    apart = stored(apart.join(mixed, "key"), "near-apart")
-    if not apart.isEmpty():
-        x, y = apart.alias("x"), apart.alias("y")
-        across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        second = verified(across, docs, classes, least, shingle)
-        roots = stored(stars(first.union(second), "near-stars"), "near-roots")
+    members = stored(tables.join(sizes, "key").drop("n"), "near-members")
+    star = members.filter("a <> node").select("at", F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+
+    def roots_of(links: DataFrame) -> DataFrame:
+        return stored(stars(links, "near-stars"), "near-roots")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        return pairs.join(x, "a", "left").join(y, "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+    links = verified(likely(star.filter(F.col("at") < FIRST).select("a", "b").distinct(), classes, agree), docs, classes, least, shingle)
+    roots = roots_of(links)
+    more = verified(likely(apart(star.select("a", "b").distinct(), roots), classes, agree), docs, classes, least, shingle)
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = roots_of(links)
+    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    both = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s and n > 2").select("key")
+    rest = verified(across(stored(rooted.join(both, "key"), "near-apart"), classes, agree, block), docs, classes, least, shingle)
+    if not rest.isEmpty():
+        roots = roots_of(links.union(rest))
     linked = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    ids = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return rows.select("doc_id", "t", "node").join(ids, "node").select("doc_id", "t", "component_id")
-
-
-def keepers(docs: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5, bucket: int = 64) -> DataFrame:
-    """docs, in their columns, without the rows whose group has a smaller doc_id."""
-    i, t = unused(docs, "gone"), unused(docs, "gone_text")
-    gone = near_groups(docs, least, shingle, bucket).filter("doc_id <> component_id").select(F.col("doc_id").alias(i), F.col("t").alias(t)).distinct()
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col(i)) & (text_hash() == F.col(t)), "left_anti")
+    ids = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("node", F.col("keep.doc_id").alias("component_id"), F.col("keep.t").alias("keep_t"))
+    return rows.select("doc_id", "t", "node").join(ids, "node").select("doc_id", "t", "component_id", "keep_t")

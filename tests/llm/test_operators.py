@@ -185,19 +185,19 @@ def brute_substring(items, window=50):
 
 
 def substring_rows(frame, **options):
-    from pyspark.sql import functions as F
+    return rows(substring.digest(*substring.dedup(frame, **options)))
 
-    base, cut = substring.dedup(frame, **options)
-    out = base.join(cut.select("doc_id", "n_removed", "kept_sha").dropDuplicates(["doc_id"]), "doc_id", "left")
-    return rows(out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)), F.lower(F.hex(F.coalesce("kept_sha", "sha")))))
+
+def by_text(items, window=50):
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    return sorted(brute_substring(items, window), key=key)
 
 
-@pytest.mark.parametrize("shard", [256, 1])
-def test_substring(spark, docs, none, shard):
+@pytest.mark.parametrize("large", [256, 1])
+def test_substring(spark, docs, none, large):
     assert substring_rows(none) == []
-    key = lambda r: tuple((x is None, str(x)) for x in r)
-    assert substring_rows(docs, shard=shard) == sorted(brute_substring([(i, t) for i, t, _, _ in TEXTS]), key=key)
-    rng = np.random.default_rng(shard)
+    assert substring_rows(docs, large=large) == by_text([(i, t) for i, t, _, _ in TEXTS])
+    rng = np.random.default_rng(large)
     items = []
     for i in range(60):
         w = [str(x) for x in rng.integers(0, 3, int(rng.integers(0, 40)))]
@@ -206,9 +206,21 @@ def test_substring(spark, docs, none, shard):
                 other = words(items[int(rng.integers(len(items)))][1])
                 at = int(rng.integers(len(other) + 1))
                 w += other[at : at + 25] + [f"u{i}"]
-        items.append((i, " ".join(w)))
+        items.append((i // 2 if i % 9 == 1 else i, " ".join(w)))  # some rows share a doc_id, with different texts
     frame = spark.createDataFrame(items, "doc_id long, text string")
-    assert substring_rows(frame, window=12, shard=shard) == sorted(brute_substring(items, 12), key=key)
+    assert substring_rows(frame, window=12, large=large) == by_text(items, 12)
+
+
+@pytest.mark.parametrize("large", [256, 1])
+def test_substring_of_colliding_words(spark, large):
+    """Sequences of the Thue-Morse kind, equal in every polynomial hash modulo 2^64: words decide, not hashes."""
+    turn = [k.bit_count() & 1 for k in range(1024)]
+    lead = [f"lead{k}" for k in range(3)]
+    items = [(1, " ".join(lead + [("a", "b")[x] for x in turn])), (2, " ".join(lead + [("b", "a")[x] for x in turn]))]
+    items += [(3, PASSAGE), (4, "once " + PASSAGE), (4, " ".join(f"q{k}" for k in range(80)))]
+    got = substring_rows(spark.createDataFrame(items, "doc_id long, text string"), large=large)
+    assert got == by_text(items)
+    assert sorted((r[0], r[2]) for r in got) == [(1, 0), (2, 1024), (3, 0), (4, 0), (4, 70)]
 
 
 def test_suffix_automaton():
@@ -390,6 +402,64 @@ def test_html(html, want):
     assert html_text.main_text(html or "") == want
 
 
+SENTENCE = "A sentence of the article that goes on for quite a while, as such sentences do, and then comes to its end."
+MENU = "<ul>" + "".join(f"<li><a href=x>Menu {i}</a></li>" for i in range(4)) + "</ul>"
+TAGGY = "<div>" + ("<p>" + "<b>Tag</b> <i>No</i> " * 15 + "</p>") * 8 + "</div>"
+TAGS = "\n\n" + "\n\n".join([" ".join(["Tag No"] * 15)] * 8)
+
+
+def test_html_steps(monkeypatch):
+    """Neither article elements nor class names: ratio, smoothing and threshold each decide what stays."""
+    html = MENU + "<section>" + "".join(f"<div><h2>Part {i}</h2></div><div><p>{SENTENCE}</p></div>" for i in range(3)) + "</section>" + TAGGY
+    want = "\n\n".join(f"Part {i}\n\n{SENTENCE}" for i in range(3))
+    assert html_text.main_text(html) == want
+    for name, off, other in (
+        ("smoothed", lambda x, sigma: x, "\n\n".join([SENTENCE] * 3)),  # the headings' own regions are lost
+        ("threshold", lambda x: 0.0, "\n\n".join(f"Menu {i}" for i in range(4)) + "\n\n" + want + TAGS),
+        ("ratios", lambda lines: np.array([float(len(x.text)) for x in lines]), want + TAGS),
+    ):
+        with monkeypatch.context() as m:
+            m.setattr(html_text, name, off)
+            assert html_text.main_text(html) == other, name
+
+
+def test_html_regions():
+    """Inside an article lists and captions stay, link lists and marked parts go; outside it a short unmarked line goes."""
+    p = f"<p>{SENTENCE}</p>"
+    links = "<ul>" + "".join(f"<li><a href=x>Another story number {i}</a></li>" for i in range(6)) + "</ul>"
+    page = f"<div>Breaking news here</div><article><header><h1>Title</h1></header>{p}<ul><li>one</li><li>two</li></ul><figure><figcaption>Seen</figcaption></figure>{p}{links}<div class=notice>{SENTENCE}</div>{p}<section id=comments><p>{SENTENCE}</p></section></article>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", SENTENCE, "one", "two", "Seen", SENTENCE, SENTENCE])
+
+
+def test_html_smoothing_and_clusters():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 8, 40):
+        x = rng.gamma(1.0, 40.0, n)
+        for sigma in (0.5, 1.0, 2.0):
+            reach = max(1, int(3 * sigma))
+            near = lambda i, r=reach, n=n: range(max(0, i - r), min(n, i + r + 1))
+            w = lambda i, j, s=sigma: math.exp(-0.5 * ((i - j) / s) ** 2)
+            want = [sum(w(i, j) * x[j] for j in near(i)) / sum(w(i, j) for j in near(i)) for i in range(n)]
+            assert np.allclose(html_text.smoothed(x, sigma), want)
+        y = np.sort(np.log1p(x))
+        if n > 1 and y[-1] - y[0] >= 1:
+            spread = [((y[:k] - y[:k].mean()) ** 2).sum() + ((y[k:] - y[k:].mean()) ** 2).sum() for k in range(1, n)]
+            k = int(np.argmin(spread)) + 1
+            assert y[k - 1] <= np.log1p(html_text.threshold(x)) <= y[k]
+
+
+def test_html_nesting():
+    """Unclosed tags and stray ends: work in proportion to the page."""
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        assert html_text.main_text("<div>" * n + "x</i>" * n).count("x") == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 2), (None, None, None, 3), (2, "v", "<p>" + "x " * 200_000, 4)], "page_id long, url string, html string, n_chars long")
     assert [r[3] for r in sorted(html_text.extract(pages).collect(), key=lambda r: r[3])] == [0, 1, 1, 399_999]
@@ -401,18 +471,19 @@ def test_html_frame(spark):
 
 def test_ppm_code_lengths():
     texts = {"aa": ["abab abba", "ab"], "bb": ["xyz xy", "été"]}
-    model = language.Model(sorted(texts), [tuple(x.astype(np.int64) for x in np.unique(language.runs(texts[k]), return_counts=True)) for k in sorted(texts)])
+    model = language.Model(sorted(texts), [np.unique(language.runs(texts[k]), return_counts=True) for k in sorted(texts)])
+    top = language.ORDER
 
     def length(lang, text):
         seen = defaultdict(lambda: defaultdict(int))
         for t in texts[lang]:
-            b = b"\0\0\0" + t.encode()
-            for i in range(3, len(b)):
-                for order in range(4):
+            b = bytes(top) + t.encode()
+            for i in range(top, len(b)):
+                for order in range(top + 1):
                     seen[b[i - order : i]][b[i]] += 1
-        total, b = 0.0, b"\0\0\0" + text.lower().encode()
-        for i in range(3, len(b)):
-            for order in (3, 2, 1, 0):
+        total, b = 0.0, bytes(top) + text.lower().encode()
+        for i in range(top, len(b)):
+            for order in range(top, -1, -1):
                 c = seen.get(b[i - order : i])
                 if not c:
                     continue
@@ -425,19 +496,47 @@ def test_ppm_code_lengths():
                 total += 8
         return total
 
-    for text in ("ab", "ABBA xy", "zzz", "été ü", "a", "abab abba xyz"):
+    some = ["ab", "ABBA xy", "zzz", "été ü", "a", "abab abba xyz", ""]
+    for text in some:
         assert np.allclose(model.bits([text])[0], [length("aa", text), length("bb", text)], rtol=1e-5)
-    assert np.allclose(model.bits(["ab", "xyz", "q"])[1], model.bits(["xyz"])[0])
+    assert np.allclose(model.bits(some), [model.bits([t])[0] for t in some])
+    long = "abba xyz " * 40_000  # read in pieces
+    assert np.allclose(model.bits(["ab", long, "xyz"])[1], model.costs(language.runs_at(language.lowered_bytes(long))).sum(0, dtype=float))
+    assert np.allclose(model.bits(["ab", long, "xyz"])[2], model.bits(["xyz"])[0])
+
+
+def test_index():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(np.r_[rng.integers(0, 2**63, n, dtype=np.uint64), np.arange(n, dtype=np.uint64)])
+        index = language.Index(keys)
+        other = np.setdiff1d(rng.integers(0, 2**63, 3000, dtype=np.uint64), keys)
+        assert (index.find(keys) == np.arange(len(keys))).all() and (index.find(other) == -1).all()
+
+
+def test_languages_in_blocks(spark):
+    """Languages in several blocks, a pass for each, give what one block gives; none is left out."""
+    alphabet = ["abcde", "fghij", "klmno", "abfgk", "żółćęą", "αβγδε"]
+    rng = np.random.default_rng(8)
+    make = lambda k: " ".join("".join(rng.choice(list(alphabet[k]), 5)) for _ in range(12))
+    items = [(i, make(i % 6), f"l{i % 6}") for i in range(240)] + [(None, make(2), None), (500, "12", "l1"), (501, None, "l1"), (7, make(3), None)]
+    frame = spark.createDataFrame(items, "doc_id long, text string, lang string")
+    got = [sorted(((r[0], r[1], r[2], round(r[3], 9)) for r in language.identify(frame, language.train(frame, block=n)).collect()), key=str) for n in (16, 4, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(items)
+    of = {i: la for i, _, la in items}
+    right = [p == of[i] for i, _, p, _ in got[0] if i is not None and i < 240 and zlib.crc32(str(i).encode()) % 3 == 1 and i != 7]
+    assert sum(right) >= 0.95 * len(right)
 
 
 def test_language(docs, none):
     model = language.train(docs)
     assert language.identify(none, model).count() == 0 and language.train(none) is None
-    got = {r[0]: r[1:] for r in language.identify(docs, model).collect()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
     for i in (3, 4, 5, 11):
         assert got[i] == ("und", 0.0)
     assert all(0 <= s <= 1 for _, s in got.values()) and len(got) == 16
     assert {x for x, _ in language.identify(docs, None).select("lang_pred", "score").collect()} == {"und"}
+    assert language.accepted(docs, None).count() == len(TEXTS)
     left = language.accepted(docs, model)
     assert left.columns == docs.columns and {r[0] for r in left.select("doc_id").collect()}.isdisjoint({3, 4, 5, 11})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,48 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+_SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(text: bytes, block: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word between ASCII white space: a polynomial of its bytes, mixed. For bringing words together."""
+    a = np.frombuffer(text, np.uint8)
+    s = np.empty(len(a) + 2, bool)
+    s[0] = s[-1] = True
+    s[1:-1] = _SPACES[a]
+    edges = np.flatnonzero(s[1:] != s[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), block):
+        lo, n = starts[i : i + block], (ends - starts)[i : i + block]
+        # the bytes of the words alone, and each one's place in its word
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        most = int(n.max())
+        if len(_POWERS[0]) < most:
+            _POWERS[0] = np.cumprod(np.r_[np.uint64(1), np.full(2 * most, _BASE, np.uint64)])
+        byte = a[place + np.repeat(lo, n)].astype(np.uint64) + np.uint64(1)
+        out[i : i + block] = np.add.reduceat(byte * _POWERS[0][place], first)
+    return mixed(out)
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words, from the words' hashes."""
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(_BASE) + words[j : len(words) - n + 1 + j]
+    return mixed(h)
+
+
 def empty_text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

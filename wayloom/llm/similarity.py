@@ -7,11 +7,11 @@ in 4 to 12 of 64 SimHash bits, beyond any covering code of bearable size, so the
 pair of exactly 0.8 shares none of them once in 20 million (0.5904^32), more similar ones less often.
 
 Every candidate is compared: first by 128 minima of 8 bits (below 75 equal ones a pair of 0.8 falls once in a billion),
-then by the shingle sets themselves, so no pair below the similarity is linked. Three rounds keep the comparisons few:
+then by the shingle sets themselves, so no pair below the similarity is linked. Two rounds keep the comparisons few:
 
-1. in four of the tables the members of a bucket are compared with one of them;
-2. in all tables the same, where the two are not yet in one component;
-3. in all tables all pairs of a bucket whose members are not yet in one component; buckets above `block` members are
+1. the members of a bucket are compared with that of the smallest hash; near copies share most buckets, so this is
+   mostly the same one in all of them;
+2. all pairs of a bucket whose members are not yet in one component are compared; buckets above `block` members are
    cut into cells of two blocks, so that no task holds a bucket. A pair that is left out joins what is joined already.
 
 Texts without a word are near nothing. Columns other than doc_id and text don't matter; rows of one doc_id and
@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import broadcast_if_small, map_arrow, stored, text_hash, texts
+from wayloom.llm.common import broadcast_if_small, map_arrow, mixed, run_hashes, stored, text_hash, texts, word_hashes
 from wayloom.llm.components import stars
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-TABLES, ROWS, FIRST = 32, 4, 4
+TABLES, ROWS = 32, 4
 SIGNS = TABLES * ROWS
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(0, 1 << 32, SIGNS, dtype=np.uint32) | np.uint32(1)
@@ -40,32 +40,13 @@ _B = _RNG.integers(0, 1 << 32, SIGNS, dtype=np.uint32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """The last steps of splitmix64."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(text: bytes, known: dict, shingle: int = 5) -> np.ndarray:
+def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
     """The sorted hashes of the different runs of words."""
-    w = text.translate(_LOWER).split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    v = np.fromiter((known[x] for x in w), np.uint64, len(w))
-    k = min(shingle, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for j in range(k):
-        h = _mixed(h * _ODD + v[j : len(w) - k + 1 + j])
-    return np.unique(h)
+    v = word_hashes(text.translate(_LOWER))
+    if not len(v):
+        return v
+    h = np.sort(run_hashes(v, min(shingle, len(v))))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def simhash_of(h: np.ndarray) -> int:
@@ -78,13 +59,17 @@ def simhash_of(h: np.ndarray) -> int:
 def signs_of(h: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, bytes]:
     """The keys of a set in every table, and the low bytes of its minima."""
     x, low = (h >> np.uint64(32)).astype(np.uint32), np.full(SIGNS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 512):
-        np.minimum(low, (x[i : i + 512, None] * _A + _B).min(0), out=low)
+    held = np.empty((min(len(x), 1024), SIGNS), np.uint32)
+    for i in range(0, len(x), 1024):
+        some = held[: len(x) - i]
+        np.multiply(x[i : i + 1024, None], _A, out=some)
+        some += _B
+        np.minimum(low, some.min(0), out=low)
     key = np.arange(TABLES, dtype=np.uint64)
     for row in low.reshape(TABLES, ROWS).T.astype(np.uint64):
-        key = _mixed(key * _ODD + row)
-    cover = _mixed((masks & np.uint64(simhash_of(h))) * _ODD + np.arange(TABLES, TABLES + len(masks), dtype=np.uint64))
-    return np.r_[key, cover].view(np.int64), _mixed(low.astype(np.uint64)).astype(np.uint8).tobytes()
+        key = mixed(key * _ODD + row)
+    cover = mixed((masks & np.uint64(simhash_of(h))) * _ODD + np.arange(TABLES, TABLES + len(masks), dtype=np.uint64))
+    return np.r_[key, cover].view(np.int64), mixed(low.astype(np.uint64)).astype(np.uint8).tobytes()
 
 
 def node_of(h: np.ndarray) -> int:
@@ -96,11 +81,10 @@ def prints(docs: DataFrame, shingle: int, masks: list[int]) -> DataFrame:
     cover = np.array(masks, np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for b in batches:
             rows, nodes, keys, signs = [], [], [], []
             for i, x in enumerate(texts(b)):
-                h = shingles(x, known, shingle)
+                h = shingles(x, shingle)
                 if len(h):
                     rows.append(i)
                     nodes.append(node_of(h))
@@ -135,9 +119,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: tuple
     """The pairs (a, b) of classes whose sets have a similarity of least[0] / least[1] or more, stored."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for b in batches:
-            sets = [shingles(x, known, shingle) for x in texts(b)]
+            sets = [shingles(x, shingle) for x in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +149,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: tuple
     return stored(map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long"), "near-links")
 
 
-def across(mixed: DataFrame, classes: DataFrame, agree: int, block: int) -> DataFrame:
+def across(rooted: DataFrame, classes: DataFrame, agree: int, block: int) -> DataFrame:
     """Likely pairs (a, b) of different components within the buckets of (key, node, root), cell by cell."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +183,8 @@ def across(mixed: DataFrame, classes: DataFrame, agree: int, block: int) -> Data
         if held:
             yield from out()
 
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    rows = mixed.join(sizes, "key").join(classes.select("node", "signs"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sizes = rooted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    rows = rooted.join(sizes, "key").join(classes.select("node", "signs"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     # a cell of a block with itself serves the pairs inside the block; of two blocks, those between them
     dealt = cells.select("key", "i", "j", "part", "node", "root", "signs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -215,29 +198,17 @@ def near_groups(docs: DataFrame, masks: list[int], least: tuple[int, int] = (4,
     """
     rows = stored(prints(docs, shingle, masks), "near-prints")
     classes = stored(rows.groupBy("node").agg(F.min("t").alias("t"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"), F.first("keys").alias("keys"), F.first("signs").alias("signs")), "near-classes")
-    tables = classes.select("node", F.posexplode("keys").alias("at", "key"))
-    sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("a")).filter("n > 1")
-    members = stored(tables.join(sizes, "key").drop("n"), "near-members")
-    star = members.filter("a <> node").select("at", F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-
-    def roots_of(links: DataFrame) -> DataFrame:
-        return stored(stars(links, "near-stars"), "near-roots")
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(x, "a", "left").join(y, "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-
-    links = verified(likely(star.filter(F.col("at") < FIRST).select("a", "b").distinct(), classes, agree), docs, classes, least, shingle)
-    roots = roots_of(links)
-    more = verified(likely(apart(star.select("a", "b").distinct(), roots), classes, agree), docs, classes, least, shingle)
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = roots_of(links)
-    rooted = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    both = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s and n > 2").select("key")
-    rest = verified(across(stored(rooted.join(both, "key"), "near-apart"), classes, agree, block), docs, classes, least, shingle)
+    tables = classes.select("node", F.explode("keys").alias("key"))
+    sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("a")).filter("n > 1")
+    members = stored(tables.join(sizes, "key"), "near-members")
+    star = members.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    links = verified(likely(star, classes, agree), docs, classes, least, shingle)
+    roots = stored(stars(links, "near-stars"), "near-roots")
+    rooted = members.filter("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+    rest = verified(across(stored(rooted.join(apart, "key"), "near-apart"), classes, agree, block), docs, classes, least, shingle)
     if not rest.isEmpty():
-        roots = roots_of(links.union(rest))
+        roots = stored(stars(links.union(rest), "near-stars"), "near-roots")
     linked = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("node", F.col("keep.doc_id").alias("component_id"), F.col("keep.t").alias("keep_t"))
     return rows.select("doc_id", "t", "node").join(ids, "node").select("doc_id", "t", "component_id", "keep_t")

@@ -4,19 +4,24 @@ Suffix automata of the reference text do the matching, one for each shard of the
 automata of all shards to all documents would cost shards times documents; here both sides of a shard are
 brought together by anchors instead:
 
-1. A window's anchor is the smallest hash of its 10-word runs. Equal windows have equal anchors, and
-   neighbouring windows of one anchor form a segment (about 20 windows). Documents give segments: anchor,
-   two 64-bit hashes of the segment's words, place. Anchors of a single document are done with.
-2. Of equal segments the smallest doc_id stays, the others' windows are all repeats.
-3. Differing segments of one anchor are a shard. In the order of doc_id, each streams through the suffix
-   automaton of those of smaller doc_id (matching statistics), then extends it. Where the statistic
-   reaches the length of a window, the window is a repeat.
-4. A shard of more than `shard` segments has no bound and is not built in one task: its windows are matched
-   by two 64-bit hashes with minima summed before the shuffle. Nothing is dropped.
+1. A window's anchor is the smallest hash of its 10-word runs. Equal windows have equal anchors, and neighbouring
+   windows of one anchor form a segment (about 20 windows). Anchors of a single document are done with.
+2. An anchor of more than `large` segments is parted: its windows' hashes are counted, those of one document are
+   dropped, and the rest of a segment is cut where the set of documents changes (told by its first, last and number).
+   So a passage that many documents share loses what stands around it, and stays in one part.
+3. Of equal pieces of an anchor and part, grouped by their words, the smallest doc_id stays; the others' windows are
+   all repeats.
+4. The differing pieces of an anchor and part are a shard. In the order of doc_id, each streams through the suffix
+   automaton of those of smaller doc_id (matching statistics), then extends it. Where the statistic reaches the
+   length of a window, the window is a repeat.
 5. The spans of a document are united, and its kept words are written once more.
 
-The spans are judged on the input. Null texts have no words. Rows without doc_id are kept whole and serve
-as no reference. Repeated rows of one doc_id don't remove each other. Extra columns don't matter.
+Hashes only bring pieces together: whether words are equal is decided by the words alone, here and in the automata.
+
+The spans are judged on the input. Null and empty texts have no words, very long ones are read whole. Rows without
+doc_id are kept whole and serve as no reference. Rows of one doc_id don't remove each other's words; if their texts
+differ each loses its own spans. Of several documents with a window that of the smallest doc_id keeps it, ties don't
+arise beyond that. An empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,88 +32,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import map_arrow, stored, table, texts
-
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers
-_MASK = (1 << 64) - 1
-
-
-class WordHash(dict):
-    """Hashes of words, remembered until there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-class Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, for hashes of word ranges."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(m - 1, self.base, np.uint64)])
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(m - 1, self.inverse, np.uint64)])
-
-    def ranges(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hashes of h[lo:hi], the same wherever the words stand."""
-        self.grow(len(h) + 1)
-        total = np.r_[np.uint64(0), np.cumsum(h * self.up[: len(h)])]
-        return (total[hi] - total[lo]) * self.down[lo]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
-class Segmenter:
-    def __init__(self, window: int, run: int = 10):
-        self.window, self.run = window, min(run, window)
-        self.hash, self.p1, self.p2 = WordHash(), Powers(_B1), Powers(_B2)
+from wayloom.llm.common import map_arrow, run_hashes, stored, table, text_hash, texts, word_hashes
 
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h = self.hash.of(words)
-        return h, mixed(h)
-
-    def segments(self, words: list[bytes]) -> tuple[np.ndarray, ...] | None:
-        """anchor, hash a, hash b, first window, number of windows: arrays with an element a segment."""
-        if len(words) < self.window:
-            return None
-        h, h2 = self.hashes(words)
-        n = len(h) - self.run + 1
-        g = np.zeros(n, np.uint64)
-        for j in range(self.run):
-            g = g * np.uint64(_B1) + h[j : j + n]
-        low, have, need = mixed(g), 1, self.window - self.run + 1
-        while have < need:
-            step = min(have, need - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
-            have += step
-        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        count = np.diff(np.r_[first, len(low)])
-        hi = first + count + self.window - 1
-        return low[first], self.p1.ranges(h, first, hi), self.p2.ranges(h2, first, hi), first, count
-
-    def windows(self, words: list[bytes], first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-        h, h2 = self.hashes(words[first : first + count + self.window - 1])
-        lo = np.arange(count)
-        return self.p1.ranges(h, lo, lo + self.window), self.p2.ranges(h2, lo, lo + self.window)
+def segments(text: bytes, window: int, run: int = 10) -> tuple[int, tuple[np.ndarray, ...] | None]:
+    """The number of words, and anchor, first window, number of windows: arrays with an element a segment."""
+    h = word_hashes(text)
+    if len(h) < window:
+        return len(h), None
+    low, have, need = run_hashes(h, min(run, window)), 1, window - min(run, window) + 1
+    while have < need:
+        step = min(have, need - have)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        have += step
+    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    return len(h), (low[first], first, np.diff(np.r_[first, len(low)]))
 
 
 class SuffixAutomaton:
@@ -176,12 +116,9 @@ class SuffixAutomaton:
         return [(lo, hi) for lo, hi in out]
 
 
-_SEGS = pa.list_(pa.struct([("anchor", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32()), ("count", pa.int32())]))
-_WINS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("at", pa.int32())]))
-
-
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+_SEGS = pa.list_(pa.struct([("anchor", pa.int64()), ("first", pa.int32()), ("count", pa.int32())]))
+_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+PIECES = "anchor long, part long, doc_id long, t long, first int, n int, words string"
 
 
 def sha(words: list[bytes]) -> bytes:
@@ -189,85 +126,111 @@ def sha(words: list[bytes]) -> bytes:
 
 
 def segment_table(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, n_words, sha of all words, segments."""
+    """doc_id, t (the text's hash), n_words, sha of all words, segments."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Segmenter(window)
         for b in batches:
             n, digests, sizes, parts = [], [], [0], []
             for x in texts(b):
-                w = x.split()
-                n.append(len(w))
-                digests.append(sha(w))
-                got = cut.segments(w)
+                words, got = segments(x, window)
+                n.append(words)
+                digests.append(sha(x.split()))
                 sizes.append(sizes[-1] + (len(got[0]) if got else 0))
                 if got:
                     parts.append(got)
-            cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(5)]
-            struct = pa.StructArray.from_arrays([*map(signed, cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], fields=list(_SEGS.value_type))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)], names=["doc_id", "n_words", "sha", "segs"])
+            anchor, first, count = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(3))
+            struct = pa.StructArray.from_arrays([pa.array(anchor.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], fields=list(_SEGS.value_type))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)], names=["doc_id", "t", "n_words", "sha", "segs"])
 
-    return map_arrow(docs, scan, "doc_id long, n_words long, sha binary, segs array<struct<anchor:long,a:long,b:long,first:int,count:int>>")
+    return map_arrow(docs.select("doc_id", "t", "text"), scan, "doc_id long, t long, n_words long, sha binary, segs array<struct<anchor:long,first:int,count:int>>")
 
 
-def segment_texts(docs: DataFrame, window: int) -> DataFrame:
-    """docs with wanted (array of anchor, a, b, big): the words of small shards' segments, the windows of big ones'."""
+def pieces_of(docs: DataFrame, name: str) -> DataFrame:
+    """PIECES of docs: the words of the ranges (anchor, part, first, n) in the column of that name."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Segmenter(window)
         for b in batches:
             rows = []
-            for doc_id, x, wanted in zip(b.column("doc_id").to_pylist(), texts(b), b.column("wanted").to_pylist(), strict=True):
+            for doc_id, t, x, ranges in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), texts(b), b.column(name).to_pylist(), strict=True):
                 w = x.split()
-                want = {(s["anchor"], s["a"], s["b"]): s["big"] for s in wanted}
-                got = cut.segments(w)
-                if not got:
-                    continue
-                keys = zip(*(x.view(np.int64).tolist() for x in got[:3]), strict=True)
-                for key, first, count in zip(keys, got[3].tolist(), got[4].tolist(), strict=True):
-                    big = want.get(key)
-                    if big is None:
-                        continue
-                    if big:
-                        wa, wb = cut.windows(w, first, count)
-                        wins = [{"a": p, "b": q, "at": first + i} for i, (p, q) in enumerate(zip(wa.view(np.int64).tolist(), wb.view(np.int64).tolist(), strict=True))]
-                        rows.append((key[0], doc_id, first, None, wins))
-                    else:
-                        rows.append((key[0], doc_id, first, b" ".join(w[first : first + count + window - 1]).decode(), None))
-            anchors, ids, firsts, words, wins = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(words, pa.string()), pa.array(wins, _WINS)], names=["anchor", "doc_id", "first", "words", "wins"])
-
-    return map_arrow(docs, scan, "anchor long, doc_id long, first int, words string, wins array<struct<a:long,b:long,at:int>>")
-
-
-def shard_spans(segments: DataFrame, window: int) -> DataFrame:
-    """Rows sorted by anchor and doc_id: each shard's automaton grows in the order of doc_id."""
+                rows += [(r["anchor"], r["part"], doc_id, t, r["first"], r["n"], b" ".join(w[r["first"] : r["first"] + r["n"]])) for r in ranges]
+                if len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), pa.array(cols[6], pa.binary()).cast(pa.string())], names=["anchor", "part", "doc_id", "t", "first", "n", "words"])
+
+    return map_arrow(docs.select("doc_id", "t", "text", name), scan, PIECES)
+
+
+def windows_of(docs: DataFrame, window: int) -> DataFrame:
+    """anchor, key, doc_id, t, at of the windows in the ranges (anchor, first, n) of the column large."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            anchors, keys, ids, ts, places = [], [], [], [], []
+            for doc_id, t, x, ranges in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), texts(b), b.column("large").to_pylist(), strict=True):
+                w = x.split()
+                for r in ranges:
+                    m = r["n"] - window + 1
+                    anchors += [r["anchor"]] * m
+                    keys += [xxhash.xxh3_64_intdigest(b" ".join(w[i : i + window])) for i in range(r["first"], r["first"] + m)]
+                    places += range(r["first"], r["first"] + m)
+                    ids += [doc_id] * m
+                    ts += [t] * m
+            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(places, pa.int32())], names=["anchor", "key", "doc_id", "t", "at"])
+
+    return map_arrow(docs.select("doc_id", "t", "text", "large"), scan, "anchor long, key long, doc_id long, t long, at int")
+
+
+def parted(docs: DataFrame, window: int) -> DataFrame:
+    """PIECES of the large anchors' segments in docs (doc_id, t, text, large), cut where the windows' documents change.
+
+    A window that only one document has is dropped. The others' part is made of the first, the last and the number of
+    documents' rows that have the window: equal windows are in equal parts.
+    """
+    wins = stored(windows_of(docs, window), "op8-windows")
+    seen = wins.groupBy("anchor", "key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+    parts = stored(seen.select("anchor", "key", F.xxhash64("x", "y", "m").alias("part")), "op8-parts")
+    inside = wins.join(parts, ["anchor", "key"])
+    # a run of neighbouring windows of one anchor and part: their place less their number in the document and part is the same
+    number = F.row_number().over(Window.partitionBy("doc_id", "t", "anchor", "part").orderBy("at"))
+    runs = inside.select("doc_id", "t", "anchor", "part", "at").distinct().withColumn("run", F.col("at") - number)
+    runs = runs.groupBy("doc_id", "t", "anchor", "part", "run").agg(F.min("at").alias("first"), (F.count(F.lit(1)) + (window - 1)).cast("int").alias("n"))
+    ranges = runs.groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "part", "first", "n")).alias("ranges"))
+    return pieces_of(docs.select("doc_id", "t", "text").join(stored(ranges, "op8-ranges"), ["doc_id", "t"]), "ranges")
+
+
+def shard_spans(distinct: DataFrame, window: int) -> DataFrame:
+    """distinct (anchor, part, words, d0, d1) with spans: in the order of d0 each streams through the automaton of those of smaller d0."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor = doc = None
+        shard = doc = None
         automaton, waiting = SuffixAutomaton(), []
         for b in batches:
-            ids, lo, hi = [], [], []
-            for a, d, first, words in zip(b.column("anchor").to_pylist(), b.column("doc_id").to_pylist(), b.column("first").to_pylist(), b.column("words").to_pylist(), strict=True):
-                if a != anchor:
-                    anchor, doc, automaton, waiting = a, d, SuffixAutomaton(), []
+            found = []
+            for a, p, d, words in zip(b.column("anchor").to_pylist(), b.column("part").to_pylist(), b.column("d0").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if (a, p) != shard:
+                    shard, doc, automaton, waiting = (a, p), d, SuffixAutomaton(), []
                 elif d != doc:
                     for x in waiting:
                         automaton.add(x)
                     doc, waiting = d, []
                 w = words.split(" ")
-                for s, e in automaton.spans(w, window):
-                    ids.append(d)
-                    lo.append(first + s)
-                    hi.append(first + e)
+                found.append([{"lo": lo, "hi": hi} for lo, hi in automaton.spans(w, window)])
                 waiting.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "lo", "hi"])
+            yield b.append_column("spans", pa.array(found, _SPANS))
 
-    return map_arrow(segments.select("anchor", "doc_id", "first", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first"), match, "doc_id long, lo int, hi int")
+    dealt = distinct.select("anchor", "part", "words", "d0", "d1").repartition("anchor", "part").sortWithinPartitions("anchor", "part", "d0", "words")
+    return map_arrow(dealt, match, "anchor long, part long, words string, d0 long, d1 long, spans array<struct<lo:int,hi:int>>")
 
 
 def kept_table(docs: DataFrame) -> DataFrame:
-    """docs with spans: doc_id, n_removed, sha and text of the kept words."""
+    """docs with spans: doc_id, t, n_removed, sha and text of the kept words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,36 +244,45 @@ def kept_table(docs: DataFrame) -> DataFrame:
                 n.append(len(w) - len(keep))
                 digests.append(sha(keep))
                 out.append(b" ".join(keep).decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.string())], names=["doc_id", "n_removed", "kept_sha", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.string())], names=["doc_id", "t", "n_removed", "kept_sha", "kept_text"])
 
-    return map_arrow(docs, scan, "doc_id long, n_removed long, kept_sha binary, kept_text string")
+    return map_arrow(docs.select("doc_id", "t", "text", "spans"), scan, "doc_id long, t long, n_removed long, kept_sha binary, kept_text string")
 
 
-def dedup(docs: DataFrame, window: int = 50, shard: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words, sha) of every row, and (doc_id, n_removed, kept_sha, kept_text) of the documents that lose words."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def dedup(docs: DataFrame, window: int = 50, large: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, n_words, sha) of every row, and (doc_id, t, n_removed, kept_sha, kept_text) of the texts that lose words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", text_hash())
     base = stored(segment_table(docs, window), "op8-segments")
-    segs = base.filter("doc_id is not null").select("doc_id", F.inline("segs"))
-    shared = segs.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select("anchor")
-    found = stored(segs.join(shared, "anchor", "left_semi"), "op8-shared")
-    distinct = stored(found.groupBy("anchor", "a", "b").agg(F.min("doc_id").alias("d0")), "op8-distinct")
-    equal = found.join(distinct, ["anchor", "a", "b"]).filter("doc_id > d0").select("doc_id", F.col("first").alias("lo"), (F.col("first") + F.col("count") + window - 1).cast("int").alias("hi"))
-    shards = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("d0").alias("x"), F.max("d0").alias("y")).filter("n > 1 and x <> y").select("anchor", (F.col("n") > shard).alias("big"))
-    wanted = distinct.join(shards, "anchor").groupBy(F.col("d0").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "a", "b", "big")).alias("wanted"))
-    texts_of = stored(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), "op8-texts")
-    pieces = stored(segment_texts(texts_of.join(wanted, "doc_id"), window), "op8-pieces")
-    by_shard = shard_spans(pieces.filter("words is not null"), window)
-    wins = pieces.filter("wins is not null").select("doc_id", F.inline("wins"))
-    # written, so that the join below has an exchange on both sides and Spark can split a very common window
-    least = stored(wins.groupBy("a", "b").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 <> d1").drop("d1"), "op8-least")
-    by_hash = wins.join(least, ["a", "b"]).filter("doc_id > d0").select("doc_id", F.col("at").alias("lo"), (F.col("at") + window).cast("int").alias("hi"))
-    spans = equal.union(by_shard).union(by_hash).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return base.select("doc_id", "n_words", "sha"), stored(kept_table(texts_of.join(spans, "doc_id")), "op8-kept")
+    segs = base.filter("doc_id is not null").select("doc_id", "t", F.inline("segs"))
+    counts = segs.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+    shared = stored(counts.select("anchor", (F.col("m") > large).alias("large")), "op8-shared")
+    found = segs.join(shared, "anchor").select("doc_id", "t", "large", F.struct("anchor", F.lit(0).cast("long").alias("part"), "first", (F.col("count") + (window - 1)).cast("int").alias("n")).alias("r"))
+    wanted = found.groupBy("doc_id", "t").agg(*[F.collect_set(F.when(F.col("large") == F.lit(x), F.col("r"))).alias(name) for name, x in (("ranges", False), ("large", True))])
+    texts_of = stored(docs.dropDuplicates(["doc_id", "t"]).join(stored(wanted, "op8-wanted"), ["doc_id", "t"]), "op8-texts")
+    pieces = pieces_of(texts_of.filter(F.size("ranges") > 0), "ranges")
+    if not shared.filter("large").isEmpty():
+        pieces = pieces.union(parted(texts_of.filter(F.size("large") > 0), window))
+    pieces = stored(pieces, "op8-pieces")
+    key = ["anchor", "part"]
+    distinct = stored(pieces.groupBy(*key, "words").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")), "op8-distinct")
+    shards = stored(distinct.groupBy(*key).agg(F.min("d0").alias("x"), F.max("d0").alias("y")).filter("x <> y").select(*key), "op8-shards")
+    alone = distinct.join(shards, key, "left_anti").withColumn("spans", F.expr("cast(array() as array<struct<lo:int,hi:int>>)"))
+    matched = alone.unionByName(shard_spans(distinct.join(shards, key, "left_semi"), window)).filter("d0 <> d1 or size(spans) > 0")
+    # written, so that the join below has an exchange on both sides and Spark can split a very common piece
+    matched = stored(matched.drop("d1"), "op8-matched")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    hit = pieces.join(matched, [*key, "words"]).select("doc_id", "t", "first", F.inline(F.when(F.col("doc_id") > F.col("d0"), whole).otherwise(F.col("spans"))))
+    spans = hit.groupBy("doc_id", "t").agg(F.collect_list(F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))).alias("spans"))
+    cut = texts_of.select("doc_id", "t", "text").join(stored(spans, "op8-spans"), ["doc_id", "t"])
+    return base.drop("segs"), stored(kept_table(cut), "op8-kept")
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, cut = dedup(table(spark, sf_dir, "documents"))
-    out = base.join(cut.select("doc_id", "n_removed", "kept_sha").dropDuplicates(["doc_id"]), "doc_id", "left")
+    return digest(*dedup(table(spark, sf_dir, "documents")))
+
+
+def digest(base: DataFrame, cut: DataFrame) -> DataFrame:
+    out = base.join(cut.drop("kept_text").withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")) & (base.t == cut.t), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"))
 
 

@@ -20,31 +20,29 @@ def test_adj(spark, tmp_path):
     assert adj.read_parquet(spark, adj.write_parquet(g, str(tmp_path / "p"))).equal(g)
 
 
-SIMPLE = """digraph simple {
-  node [penwidth=1];
-  edge [style=solid];
-  rankdir=TB;
-  1 [label="one", color="red"];
-  2;
-  3;
-  4;
-  1 -> 2 [label="edge", color="0.1,0.4,0.8"];
-  2 -> 3 [color="#FF0000"];
-  1 -> 4;
-  4 -> 3;
-  4 -> 1;
-  1 -> 4 -> 3 -> 1;
+HARBOUR = """digraph harbour {
+  node [fontsize=9];
+  edge [arrowsize=2];
+  rankdir=LR;
+  11 [label="quay", shape="ellipse"];
+  12;
+  15;
+  11 -> 12 [label="ferry", color="0.5,0.25,1.0"];
+  12 -> 15 [color="#0080FF"];
+  15 -> 11;
+  15 -> 12;
+  12 -> 11 -> 15;
 }
 """
 
 
 def test_dot_text():
-    at = {"node": [("penwidth", 1)], "edge": [("style", Word("solid"))], "simple": [("rankdir", Word("TB"))], 1: [("label", "one"), ("color", "red")], (1, 2): [("label", "edge"), ("color", (0.1, 0.4, 0.8))], (2, 3): [("color", (255, 0, 0))]}
-    tail = lambda d: d.edges([(1, 4), (4, 3), (4, 1)]).chain([1, 4, 3, 1]).text()
-    d = Dot("simple").globals("simple", at).node(1, at).nodes([2, 3, 4]).edge((1, 2), at).edge((2, 3), at)
-    assert tail(d) == SIMPLE
-    d = Dot("simple").common("node", [("penwidth", 1)]).common("edge", [("style", Word("solid"))]).rankdir("TB").node(1, at).nodes([2, 3, 4])
-    assert tail(d.edge((1, 2), None, at[(1, 2)]).edge((2, 3), None, at[(2, 3)])) == SIMPLE
+    at = {"node": [("fontsize", 9)], "edge": [("arrowsize", 2)], "harbour": [("rankdir", Word("LR"))], 11: [("label", "quay"), ("shape", "ellipse")], (11, 12): [("label", "ferry"), ("color", (0.5, 0.25, 1.0))], (12, 15): [("color", (0, 128, 255))]}
+    tail = lambda d: d.edges([(15, 11), (15, 12)]).chain([12, 11, 15]).text()
+    d = Dot("harbour").globals("harbour", at).node(11, at).nodes([12, 15]).edge((11, 12), at).edge((12, 15), at)
+    assert tail(d) == HARBOUR
+    d = Dot("harbour").common("node", at).common("edge", [("arrowsize", 2)]).rankdir("LR").node(11, at).nodes([12, 15])
+    assert tail(d.edge((11, 12), None, at[(11, 12)]).edge((12, 15), None, at[(12, 15)])) == HARBOUR
     with pytest.raises(ValueError):
         Dot().node("a b")
     with pytest.raises(ValueError):
@@ -53,33 +51,33 @@ def test_dot_text():
     assert pairs == "digraph g {\n  1 -> 2 [dir=both];\n  1 -> 3 [dir=none];\n}\n"
 
 
-TEXT = """// comment
-# another
-/* more
-   lines */
-digraph small { node [shape=box]; size="1,2";
-  main->parse->execute [label="three"]; main -> init; a-b -> "quoted name" ;
-  init [label="multi\\nline", color=blue];
-  nodeless; edges -> main;
-  {rank=same; p; q; p -> q; }
+TEXT = """// the roads
+# of an island
+/* drawn
+   by hand */
+digraph island { node [color=navy]; ratio="3,4";
+  north->market->south [label="high street"]; north -> light; out-post -> "old mill" ;
+  light [label="tower\\nlamp", color=white];
+  lonely; ring -> north;
+  {rank=same; east; west; east -> west; }
 }"""
 
 
 def test_dot_reader(spark, tmp_path):
-    path = tmp_path / "small.dot"
+    path = tmp_path / "island.dot"
     path.write_text(TEXT)
     g, at = dot.read_dot(spark, str(path))
-    assert g.name == "small"
+    assert g.name == "island"
     names = {i: dict(at[i])["alias"] for i in at if isinstance(i, int)}
-    assert names[1] == "main" and names[2] == "parse" and names[3] == "execute" and names[7] == "nodeless" and names[8] == "edges"
-    assert names[10] == "p" and 9 not in names  # the group took 9
+    assert names[1] == "north" and names[2] == "market" and names[3] == "south" and names[7] == "lonely" and names[8] == "ring"
+    assert names[10] == "east" and 9 not in names  # the group took 9
     v, e = g.to_sets()
     assert e == {(1, 2), (2, 3), (1, 4), (5, 6), (8, 1), (10, 11)} and 7 in v
-    assert at[(2, 3)] == [("label", "three")] and (1, 2) not in at
-    assert at[4] == [("alias", "init"), ("label", "multi\nline"), ("color", "blue")]
-    assert at["small_node"] == [("shape", "box")] and at["small"] == [("size", "1,2")] and at["rank_9"] == [("rank", "same")]
+    assert at[(2, 3)] == [("label", "high street")] and (1, 2) not in at
+    assert at[4] == [("alias", "light"), ("label", "tower\nlamp"), ("color", "white")]
+    assert at["island_node"] == [("color", "navy")] and at["island"] == [("ratio", "3,4")] and at["rank_9"] == [("rank", "same")]
     assert dot.attribute_table(spark, at).filter("key_kind = 'edge'").count() == 1
-    assert dot.read_dots(spark, str(tmp_path)).select("name").first()[0] == "small"
+    assert dot.read_dots(spark, str(tmp_path)).select("name").first()[0] == "island"
     for bad in ("graph x {}", "digraph { a -> }", "digraph { a:n -> b }"):
         with pytest.raises(ValueError):
             dot.Reader(bad).read()
@@ -96,11 +94,28 @@ def test_dot_files(spark, tmp_path):
     text = dot.to_dot(g, partition=parts)
     assert "rank=same;" in text and "3 -> 4 [constraint=true];" in text and "1 -> 2 [constraint=false];" in text
     at = dot.partition_colours(g, parts.filter("id <> 4"))
-    assert at[4] == [("color", "gray80")] and at[(3, 4)] == [("color", "gray80")] and at[(1, 2)] == at[1] == [("color", "red")]
-    try:
-        assert dot.draw_partitions(g, parts, str(tmp_path), layers=True).endswith("g.png")
-    except RuntimeError as e:
-        assert "GraphViz" in str(e)
+    assert at[4] == [("color", dot.NO_COLOUR)] and at[(3, 4)] == [("color", dot.NO_COLOUR)] and at[(1, 2)] == at[1] == [("color", "red")]
+    lines = "\n".join(r["line"] for r in dot.dot_lines(g, {1: [("label", "one")]}).orderBy("n").collect())
+    assert lines + "\n" == dot.to_dot(g, {1: [("label", "one")]})
+    assert "\n".join(r[0] for r in spark.read.text(dot.write_dot_parts(g, f"{tmp_path}/parts")).collect()) + "\n" == dot.to_dot(g)
+
+
+def test_draw(spark, tmp_path, monkeypatch):
+    """Rendering hands the file to GraphViz, here a stand-in that copies it; without one it is an error."""
+    g = Graph.build(spark, [(1, 2, 3, 1), (3, 4)], "g")
+    parts = components.strong(g).withColumnRenamed("comp", "part")
+    monkeypatch.setenv("PATH", str(tmp_path))
+    with pytest.raises(RuntimeError, match="GraphViz"):
+        dot.draw(g, str(tmp_path))
+    program = tmp_path / "dot"
+    program.write_text('#!/bin/sh\n/bin/cat "$4" > "$3"\n')
+    program.chmod(0o755)
+    assert open(dot.draw(g, str(tmp_path), form="svg")).read() == dot.to_dot(g)
+    image = open(dot.draw_partitions(g, parts, str(tmp_path), layers=True)).read()
+    assert "rank=same;" in image and "color=red" in image.replace('"', "") and dot.NO_COLOUR in image
+    assert dot.render(f"{tmp_path}/g.dot", "png", f"{tmp_path}/out").endswith("/out/g.png")
+    with pytest.raises(ValueError):
+        dot.render(f"{tmp_path}/g.dot", "p;g")
 
 
 def test_deps(spark, tmp_path):
@@ -108,7 +123,8 @@ def test_deps(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_text(text)
     g, at = deps.read_deps(spark, str(path))
-    assert g.name == "top" and g.to_sets() == ({1, 2, 3, 4}, {(1, 2), (2, 3), (2, 4), (1, 3), (3, 4)})
+    assert g.name == "t" and at["t"] == [("rankdir", "BT")] and at[(2, 4)] == [("color", "blue")] and at[(2, 3)] == [("color", deps.MIXED)]
+    assert g.to_sets() == ({1, 2, 3, 4}, {(1, 2), (2, 3), (2, 4), (1, 3), (3, 4)})
     assert at[2] == [("alias", "one"), ("label", "one ~> 1.0"), ("color", "blue")] and dict(at[3])["color"] == "green"
     for bad in ("", "top\n|   |-- deep\n", "a b (c\n"):
         with pytest.raises(ValueError):

@@ -5,9 +5,8 @@ from collections import deque
 
 import pytest
 
-from wayloom.functions import small
 from wayloom.functions.match import isomorphism
-from wayloom.functions.walk import Cycle, Order
+from wayloom.functions.walk import Control, Cycle, Order
 from wayloom.graph import Graph
 from wayloom.operators import components, contract, generate, morph, reach, repository, traverse
 
@@ -16,13 +15,6 @@ T2 = [(1, 2), (1, 3), (3, 4), (3, 5)]
 W8 = [(1, 2, 3, 1), (4, 5, 6, 5, 4), (7, 8, 7), (2, 7), (3, 7), (4, 8), (6, 8)]
 
 
-@pytest.fixture(params=["one task", "joins"])
-def way(request, monkeypatch):
-    """Both ways of searching: gathered in one task, and by joins."""
-    if request.param == "joins":
-        monkeypatch.setattr(small, "LIMIT", -1)
-
-
 def build(spark, *elements):
     return Graph.build(spark, list(elements), "g")
 
@@ -45,7 +37,7 @@ def groups(df):
     return out
 
 
-def test_reach(spark, way):
+def test_reach(spark):
     g = build(spark, *T1)
     assert ids(reach.reachable(g, 1)) == {1, 2, 3, 4} and ids(reach.reachable(g, 5)) == {3, 4, 5}
     assert ids(reach.reachable(g, 4, "in")) == {1, 3, 4, 5} and ids(reach.reachable(g, 3, "in_out")) == {1, 3, 4, 5}
@@ -59,7 +51,7 @@ def test_reach(spark, way):
     assert ids(reach.frontiers(w, 1, "in_out")) == set(range(1, 9))
 
 
-def test_components(spark, way):
+def test_components(spark):
     g = build(spark, 1, (2, 3), (4, 5), (6, 5))
     assert groups(components.weak(g)) == {1: {1}, 2: {2, 3}, 4: {4, 5, 6}}
     vi, ei = components.partition_index(g, components.weak(g).withColumnRenamed("comp", "part").filter("id <> 6"))
@@ -84,7 +76,7 @@ def test_trees_and_cycles(spark):
     assert not components.is_connected(Graph.new(spark, "e")) and components.is_connected(build(spark, 1)) and not components.is_connected(build(spark, 1, 2))
 
 
-def test_random_graphs(spark, way):
+def test_random_graphs(spark):
     rng = random.Random(5)
     for n, m in ((12, 14), (30, 45)):
         pairs = {(rng.randint(1, n), rng.randint(1, n)) for _ in range(m)}
@@ -107,7 +99,7 @@ def test_random_graphs(spark, way):
         assert {r[0]: r[1] for r in components.strong(g).collect()} == {i: min(j for j in out[i] if i in out[j]) for i in out}
 
 
-def test_strong_by_colours(spark, way):
+def test_strong_by_colours(spark):
     """Many cycles of one size: the pivot takes one, colours must find the others."""
     g = build(spark, *[(10 * k + 1, 10 * k + 2, 10 * k + 3, 10 * k + 1) for k in range(6)], *[(10 * k + 1, 10 * k + 12) for k in range(5)])
     assert groups(components.strong(g)) == {10 * k + 1: {10 * k + j for j in (1, 2, 3)} for k in range(6)}
@@ -139,7 +131,7 @@ def test_contract(spark):
     assert contract.edge(g, 4, 1).equal(g) and contract.edge(g, 2, 2).to_sets()[1] == {(1, 2), (3, 2), (2, 4)}
     assert contract.nodes(g, [4, 99]).equal(g)
     assert contract.linear(build(spark, (1, 2, 3)), 2).to_sets() == ({1, 3}, {(1, 3)})
-    for elements, i, why in (([(1, 2, 3), (1, 3)], 2, "Edge exists"), ([(1, 2, 1)], 2, "Creates self-loop"), ([(1, 2), (2, 2)], 2, "Self loop"), ([(1, 2)], 2, "Not linear"), ([(1, 2, 1), (2, 3, 2), (1, 3)], 2, "Edge exists")):
+    for elements, i, why in (([(1, 2, 3), (1, 3)], 2, "linked already"), ([(1, 2, 1)], 2, "one vertex"), ([(1, 2), (2, 2)], 2, "has a loop"), ([(1, 2)], 2, "one way in"), ([(1, 2, 1), (2, 3, 2), (1, 3)], 2, "linked already")):
         with pytest.raises(ValueError, match=why):
             contract.linear(build(spark, *elements), i)
     assert contract.linears(generate.ring(spark, 6)).to_sets() == ({5, 6}, {(5, 6), (6, 5)})
@@ -197,3 +189,55 @@ def test_all_graphs(spark):
     assert (r.n_graphs(), r.n_classes("iso"), r.n_classes("homeo")) == (64, 11, 11)
     r = repository.all_graphs(spark, 4)
     assert (r.n_classes("iso"), r.n_classes("homeo")) == (6, 6)
+
+
+class Rounds(Control):
+    """A control of one's own, from the four callbacks alone: a queue, roots from the largest id down."""
+
+    def init(self, near):
+        super().init(near)
+        self.waiting, self.roots = deque(), iter(sorted(near, reverse=True))
+
+    def push(self, vertex, vertices):
+        new = [(x, vertex, 0 if vertex is None else 1) for x in vertices if x not in self.seen]
+        self.seen.update(x for x, _, _ in new)
+        self.waiting.extend(new)
+        return bool(new)
+
+    def pop(self):
+        return self.waiting.popleft() if self.waiting else None
+
+
+def test_own_control(spark):
+    g = build(spark, (1, 3), (1, 2), (2, 4), (6, 5))
+    got = traverse.traverse(g, lambda near: Order(), "pos long, id long", "strong", Rounds()).orderBy("pos").collect()
+    assert [r["id"] for r in got] == [6, 5, 4, 3, 2, 1]
+    got = traverse.traverse(g, lambda near: Order(), "pos long, id long", "strong", Rounds(), 1).orderBy("pos").collect()
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 6, 5]
+    with pytest.raises(ValueError):
+        Rounds.select_root(type("Held", (), {"near": {}})(), 7)
+
+
+def test_ranges(spark, monkeypatch):
+    """Running totals and next ids over several ranges."""
+    from wayloom.functions import ranges
+
+    monkeypatch.setattr(ranges, "RANGE", 7)
+    rng = random.Random(3)
+    items = [(k, rng.randint(0, 9)) for k in rng.sample(range(1, 500), 60)]
+    got = ranges.running(spark.createDataFrame(items, "k long, v long"), ["k"], "v").collect()
+    assert {r["k"]: r["total"] for r in got} == {k: sum(v for j, v in items if j <= k) for k, _ in items}
+    ids = sorted(k for k, _ in items)
+    g = build(spark, *ids)
+    assert dict(g.next_ids().collect()) == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    f = traverse.forest(g, "weak", ids[5])
+    assert [r["id"] for r in traverse.preorder(f).collect()] == [ids[5], *ids[:5], *ids[6:]]
+
+
+def test_groups_of_one_key(spark, monkeypatch):
+    """Many graphs of one key: groups first, then their exemplars; the same classes."""
+    whole = repository.all_graphs(spark, 4, connected=False)
+    monkeypatch.setattr(repository, "GROUP", 3)
+    parts = repository.all_graphs(spark, 4, connected=False)
+    classes = lambda r: sorted(map(tuple, r.classes.collect()))
+    assert classes(whole) == classes(parts) and whole.n_classes() == 11

@@ -6,8 +6,6 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
-MAX_NAME = 200
-
 
 @dataclass
 class Parts:
@@ -51,7 +49,7 @@ def parse(element: Any, into: Parts | None = None) -> Parts:
 
 
 def clean_name(name: str) -> str:
-    """White space becomes '_', other punctuation goes, at most MAX_NAME characters stay."""
+    """White space becomes '_', other punctuation goes."""
     if not isinstance(name, str) or not name:
         raise ValueError("a graph needs a name")
-    return re.sub(r"\W", "", re.sub(r"\s+", "_", name.strip()))[:MAX_NAME] or "graph"
+    return re.sub(r"\W", "", re.sub(r"\s+", "_", name.strip())) or "graph"

@@ -65,6 +65,17 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> str:
+    """Writes a text file where Spark reads, local or not; returns the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     ship(df.sparkSession)
     path = new_path(df.sparkSession, name)
@@ -79,3 +90,13 @@ def counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int, str]:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"], path
+
+
+def summed(df: DataFrame, name: str = "step") -> tuple[DataFrame, tuple]:
+    """The stored table and, gathered as it is written, its number of rows and a sum that tells whether it has changed."""
+    ship(df.sparkSession)
+    path = new_path(df.sparkSession, name)
+    seen = Observation()
+    total = F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0))
+    df.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("s")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get["n"], seen.get["s"])

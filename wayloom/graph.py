@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions.elements import Parts, clean_name, parse
+from wayloom.functions.ranges import ranged
 from wayloom.functions.storage import stored
 
 VERTICES, EDGES = "id long", "src long, dst long"
@@ -20,6 +21,7 @@ class Graph:
     def __init__(self, vertices: DataFrame, edges: DataFrame, name: str = "graph"):
         self.vertices, self.edges, self.name = vertices, edges, clean_name(name)
         self._counts: dict[str, int] = {}
+        self._held: dict[str, DataFrame] = {}
 
     # --- construction
 
@@ -61,6 +63,12 @@ class Graph:
         self.edges.unpersist()
         return True
 
+    def held(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A stored table that belongs to this graph, made once."""
+        if name not in self._held:
+            self._held[name] = make()
+        return self._held[name]
+
     def rename(self, name: str) -> Graph:
         return self._like(self.vertices, self.edges, name)
 
@@ -145,11 +153,20 @@ class Graph:
             k += 1
         return range(1, k + 1), self.vertices.filter(F.col("id") > k).orderBy("id")
 
+    def loops(self) -> DataFrame:
+        """id of the vertices with a loop."""
+        return self.edges.filter("src = dst").select(F.col("src").alias("id"))
+
     def n_loops(self) -> int:
-        return self.edges.filter("src = dst").count()
+        return self.loops().count()
 
     def has_loop(self) -> bool:
-        return bool(self.edges.filter("src = dst").head(1))
+        return bool(self.loops().head(1))
+
+    def opposite(self) -> DataFrame:
+        """i < j of the pairs that are linked both ways."""
+        back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return self.edges.filter("src < dst").join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("i"), F.col("dst").alias("j"))
 
     def equal(self, other: Graph) -> bool:
         """The same vertices and the same edges; names don't count."""
@@ -175,18 +192,16 @@ class Graph:
         a, b = table.select(F.col("old").alias("src"), F.col("new").alias("s")), table.select(F.col("old").alias("dst"), F.col("new").alias("d"))
         return self._like(v, self.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
 
-    def next_ids(self, parts: int = 200) -> DataFrame:
+    def next_ids(self) -> DataFrame:
         """(old, new): each id's next higher one, the largest's the smallest. Ranges of ids are sorted apart; only their first ids meet in one task."""
-        ids = stored(self.vertices.repartitionByRange(parts, "id").select("id", F.spark_partition_id().alias("part")), "rotate")
+        ids = ranged(self.vertices.select("id"), ["id"], "rotate")
         first = ids.groupBy("part").agg(F.min("id").alias("first"))
-        after = first.select("part", F.lead("first").over(Window.orderBy("first")).alias("after"))
-        low = ids.agg(F.min("id").alias("low"))
-        inside = Window.partitionBy("part").orderBy("id")
-        rows = ids.select("part", "id", F.lead("id").over(inside).alias("next")).join(F.broadcast(after), "part").crossJoin(F.broadcast(low))
+        after = first.select("part", F.lead("first").over(Window.orderBy("first")).alias("after"), F.min("first").over(Window.partitionBy()).alias("low"))
+        rows = ids.select("part", "id", F.lead("id").over(Window.partitionBy("part").orderBy("id")).alias("next")).join(F.broadcast(after), "part")
         return rows.select(F.col("id").alias("old"), F.coalesce("next", "after", "low").alias("new"))
 
     def rotate(self) -> Graph:
-        return self.relabel(self.next_ids())
+        return self.relabel(stored(self.next_ids(), "next-ids"))
 
     def join(self, other: Graph, how: str = "merge") -> Graph:
         """merge: the union. disjoint: other's ids are shifted first, if the ranges of ids overlap."""

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions import small
-from wayloom.functions.storage import counted, stored
+from wayloom.functions.storage import counted, stored, summed
 from wayloom.graph import Graph
 from wayloom.operators.degree import triples
 from wayloom.operators.reach import levels, oriented
@@ -23,22 +22,21 @@ def stars(links: DataFrame) -> DataFrame:
     """
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     edges, n, _ = counted(links.select(high.alias("u"), low.alias("v")).filter("u <> v").distinct(), "stars")
-    if n <= small.LIMIT:
-        return stored(small.in_one_task(edges, lambda c: small.weak(*c), "node long, root long"), "stars")
     # of many links, minima are written first: then a node with very many links can be split in the join
     apart = (lambda x: stored(x, "minima")) if n > SPLIT else (lambda x: x)
-    before = None
+    now = None
     for _ in range(ROUNDS):
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state in (before, (0, None)):
+        if not n:
             break
-        before = state
         both = edges.union(edges.select("v", "u"))
         least = apart(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = apart(large.groupBy("u").agg(F.min("v").alias("m")))
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges, after = summed(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        if after == now:
+            break
+        now = after
     else:
         raise RuntimeError(f"components not settled in {ROUNDS} rounds")
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -46,8 +44,8 @@ def stars(links: DataFrame) -> DataFrame:
 
 
 def weak(g: Graph) -> DataFrame:
-    """id, comp: the smallest vertex of the weak component."""
-    roots = stars(g.edges)
+    """id, comp: the smallest vertex of the weak component. The links' roots are written once for a graph."""
+    roots = g.held("weak", lambda: stored(stars(g.edges), "roots"))
     return g.vertices.join(roots, g.vertices.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("comp"))
 
 
@@ -113,12 +111,8 @@ class _Rest:
 
 
 def strong(g: Graph) -> DataFrame:
-    """id, comp: the smallest vertex of the strong component. Few edges: a walk in one task. Else trimming, one pivot, then colours, until nothing is left."""
-    edges, n, _ = counted(g.edges.select("src", "dst"), "scc-edges")
-    if n <= small.LIMIT:
-        found = stored(small.in_one_task(edges, lambda c: small.strong(*c), "node long, comp long"), "scc")
-        return g.vertices.join(found, g.vertices.id == found.node, "left").select("id", F.coalesce("comp", "id").alias("comp"))
-    rest = _Rest(Graph(g.vertices, edges, g.name))
+    """id, comp: the smallest vertex of the strong component. Trimming, one pivot, then colours, until nothing is left."""
+    rest = _Rest(g)
     rest.trim()
     if rest.left:
         rest.pivot()
@@ -144,7 +138,14 @@ def n_components(g: Graph, kind: str = "weak") -> int:
 
 def is_connected(g: Graph, kind: str = "weak") -> bool:
     n = g.n_vertices()
-    return n == 1 or n > 1 and n_components(g, kind) == 1
+    if n < 2 or kind == "weak":
+        return n == 1 or n > 1 and n_components(g, kind) == 1
+    # every vertex has a way in and a way out, and one of them reaches all both ways
+    t = triples(g)
+    if t.filter("n_in = 0 or n_out = 0").head(1):
+        return False
+    start = g.vertices.filter(F.col("id") == g.some_vertex())
+    return all(levels(oriented(g, way), start).count() == n for way in ("out", "in"))
 
 
 def condensation(g: Graph) -> Graph:
@@ -189,8 +190,6 @@ def is_cyclic(g: Graph, kind: str = "weak") -> bool:
         return g.n_edges() > g.n_vertices() - n_components(g, "weak")
     if g.has_loop():
         return True
-    if g.n_edges() <= small.LIMIT:
-        return n_components(g, "strong") < g.n_vertices()
     rest = _Rest(g)
     rest.trim()
     return rest.left > 0

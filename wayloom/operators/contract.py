@@ -12,8 +12,6 @@ from wayloom.functions.storage import stored
 from wayloom.graph import Graph
 from wayloom.operators.components import weak
 
-MAX_COMPONENT = 5_000_000
-
 
 def nodes(g: Graph, ids: Iterable[int]) -> Graph:
     """Merges vertices into the smallest. Edges among them go; the loop of one that isn't the smallest stays as a loop."""
@@ -54,16 +52,16 @@ class Linking:
         """Why vertex i can't be contracted; None if it can."""
         a, b = self.ins[i], self.outs[i]
         if i in a:
-            return "Self loop"
+            return "the vertex has a loop"
         if len(a) == 1 and len(b) == 1:
             (j,), (k,) = a, b
             if j == k:
-                return "Creates self-loop"
-            return "Edge exists" if k in self.outs[j] else None
+                return "its neighbours are one vertex"
+            return "its neighbours are linked already" if k in self.outs[j] else None
         if len(a) == 2 and a == b:
             j, k = a
-            return "Edge exists" if k in self.outs[j] or j in self.outs[k] else None
-        return "Not linear"
+            return "its neighbours are linked already" if k in self.outs[j] or j in self.outs[k] else None
+        return "not one way in and one out"
 
     def remove(self, i: int) -> None:
         a, b = self.ins.pop(i), self.outs.pop(i)
@@ -97,7 +95,7 @@ def linear(g: Graph, i: int) -> Graph:
     near = sorted({x for p in pairs for x in p} - {i})
     among = [(r[0], r[1]) for r in g.edges.filter(F.col("src").isin(near) & F.col("dst").isin(near)).collect()] if 0 < len(near) <= 2 else []
     held = Linking({i, *near}, {*pairs, *among})
-    why = held.refusal(i) if len(pairs) < 6 else "Not linear"
+    why = held.refusal(i) if len(pairs) < 6 else "not one way in and one out"
     if why:
         raise ValueError(why)
     held.remove(i)
@@ -126,12 +124,9 @@ def sweep_groups(edges: DataFrame, vertices: DataFrame, key: str, fixpoint: bool
 def linears(g: Graph, fixpoint: bool = False) -> Graph:
     """One pass over the vertices by ascending id that takes out every linear one (or passes until nothing changes).
 
-    The result depends on the order, so a weak component is one task's work (at most MAX_COMPONENT vertices).
+    The result depends on the order, so a weak component is one task's work.
     """
     comps = stored(weak(g), "linears-comps")
-    most = comps.groupBy("comp").count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_COMPONENT:
-        raise ValueError(f"a weak component has {most} vertices; contraction holds at most {MAX_COMPONENT}")
     edges = g.edges.join(comps.withColumnRenamed("id", "src"), "src").select("comp", "src", "dst")
     rows = stored(sweep_groups(edges, comps, "comp", fixpoint), "linears")
     left = rows.filter("dst is null").select(F.col("src").alias("id"))

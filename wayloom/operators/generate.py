@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayloom.functions.ranges import running
 from wayloom.graph import EDGES, Graph
 
 
@@ -108,12 +109,12 @@ def random(spark: SparkSession, n: int, m: int, connected: bool = False, seed: i
     e = e.select("id", "src", F.when(F.col("k") >= F.col("src"), F.col("k") + 1).otherwise(F.col("k")).alias("dst"))
     if tree is not None:
         e = e.join(tree, ["src", "dst"], "left_anti")
-    picked = e.orderBy("id").limit(need).select("src", "dst")
+    picked = running(e.withColumn("one", F.lit(1)), ["id"], "one").filter(F.col("total") <= need).select("src", "dst")
     return _graph(spark, n, picked if tree is None else picked.union(tree), f"random_{n}_{m}")
 
 
-def masks(spark: SparkSession, n: int, connected: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(graph_id, seq, id) and (graph_id, src, dst) of every undirected graph on n vertices, edges both ways.
+def mask_rows(spark: SparkSession, n: int, connected: bool = True) -> DataFrame:
+    """graph_id, seq, vs, es of every undirected graph on n vertices, a row for each, edges both ways.
 
     A mask is a set of the n(n-1)/2 pairs; connected: those over which vertex 1 reaches all. n is 9 at most.
     """
@@ -134,8 +135,12 @@ def masks(spark: SparkSession, n: int, connected: bool = True) -> tuple[DataFram
                 yield b[met == (1 << n) - 1]
 
         rows = rows.mapInPandas(covered, "seq long")
-    gid = F.format_string(f"n{n}_%d", "seq").alias("graph_id")
-    vertices = rows.select(gid, "seq", F.explode(F.sequence(F.lit(1), F.lit(n)).cast("array<long>")).alias("id"))
-    both = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("src"), F.lit(b).cast("long").alias("dst")) for k, p in enumerate(pairs) for a, b in (p, p[::-1])]) if pairs else F.expr("cast(array() as array<struct<k:int,src:bigint,dst:bigint>>)")
-    edges = rows.select(gid, "seq", F.explode(both).alias("x")).filter(F.expr("shiftright(seq, x.k) & 1") == 1).select("graph_id", "x.src", "x.dst")
-    return vertices, edges
+    both = [F.when(F.expr(f"shiftright(seq, {k}) & 1") == 1, F.struct(F.lit(a).cast("long").alias("src"), F.lit(b).cast("long").alias("dst"))) for k, p in enumerate(pairs) for a, b in (p, p[::-1])]
+    es = F.array_sort(F.array_compact(F.array(*both))) if pairs else F.expr("cast(array() as array<struct<src:bigint,dst:bigint>>)")
+    return rows.select(F.format_string(f"n{n}_%d", "seq").alias("graph_id"), "seq", F.sequence(F.lit(1), F.lit(n)).cast("array<long>").alias("vs"), es.alias("es"))
+
+
+def masks(spark: SparkSession, n: int, connected: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, seq, id) and (graph_id, src, dst) of every undirected graph on n vertices."""
+    rows = mask_rows(spark, n, connected)
+    return rows.select("graph_id", "seq", F.explode("vs").alias("id")), rows.select("graph_id", F.inline("es"))

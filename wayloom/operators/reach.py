@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions import small
 from wayloom.functions.storage import counted, stored
 from wayloom.graph import Graph
 from wayloom.operators.degree import check
@@ -21,12 +20,9 @@ def oriented(g: Graph, selector: str) -> DataFrame:
 
 
 def levels(steps: DataFrame, start: DataFrame, nhop: int | None = None) -> DataFrame:
-    """hop, id of all vertices within nhop steps of those in start (id). Few steps are searched in one task; else a level is written before the next begins."""
+    """hop, id of all vertices within nhop steps of those in start (id). A level is written before the next begins."""
     spark = steps.sparkSession
-    steps, n, _ = counted(steps.select("src", "dst"), "steps")
-    if n <= small.LIMIT:
-        rows = steps.select(F.lit(0).alias("kind"), "src", "dst").union(start.select(F.lit(1), "id", "id"))
-        return stored(small.in_one_task(rows, lambda c: small.search(c[1][c[0] == 0], c[2][c[0] == 0], c[1][c[0] == 1], nhop), "hop int, id long"), "levels")
+    steps = stored(steps.select("src", "dst"), "steps")
     front, size, path = counted(start.select(F.lit(0).alias("hop"), "id").distinct(), "level")
     seen, paths, hop = front, [path], 0
     while size and (nhop is None or hop < nhop):

@@ -1,7 +1,7 @@
 """Depth-first and breadth-first walks with visitors, and spanning forests as tables.
 
-A walk is sequential, so its unit is a weak component, which one worker must hold (at most MAX_COMPONENT
-vertices, checked); components run side by side. A walk with a visitor of one's own is of the whole graph.
+A walk is sequential, so its unit is a weak component, which one worker must hold; components run side by side. A walk
+with a visitor of one's own is of the whole graph, in one task: its result may depend on all that went before.
 """
 
 from __future__ import annotations
@@ -9,15 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.functions.ranges import running
 from wayloom.functions.storage import ship, stored
-from wayloom.functions.walk import CONTROLS, Control, DepthFirst, Tree, Visitor, walk
+from wayloom.functions.walk import CONTROLS, Control, Given, Tree, Visitor, walk
 from wayloom.graph import Graph
 from wayloom.operators.components import weak
 
-MAX_COMPONENT = 5_000_000
 FOREST = "root long, id long, parent long, depth int, pre long, post long, child_idx int"
 
 
@@ -38,8 +38,6 @@ def traverse(g: Graph, visitor: Callable[[dict], Visitor], schema: str, kind: st
     """The rows of visitor(neighbours).result() after a walk of the whole graph, in one task."""
     if root is not None:
         g.check_vertex(root)
-    if g.n_vertices() > MAX_COMPONENT:
-        raise ValueError(f"a walk with a visitor holds the whole graph; at most {MAX_COMPONENT} vertices")
     ship(g.spark)
     order = CONTROLS[control]() if isinstance(control, str) else control
     names = [x.split()[0] for x in schema.split(",")]
@@ -59,9 +57,6 @@ def forest(g: Graph, kind: str = "weak", root: int | None = None, control: str =
     if root is not None:
         g.check_vertex(root)
     comps = stored(weak(g), "forest-comps")
-    most = comps.groupBy("comp").count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_COMPONENT:
-        raise ValueError(f"a weak component has {most} vertices; a walk holds at most {MAX_COMPONENT}")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         near = _held(rows)
@@ -71,9 +66,9 @@ def forest(g: Graph, kind: str = "weak", root: int | None = None, control: str =
         return out
 
     trees = stored(adjacency(g, kind).join(comps, "id").groupBy("comp").applyInPandas(run, FOREST), "forest")
-    sizes = trees.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     first = F.when(F.col("root") == root, 0).otherwise(1) if root is not None else F.lit(1)
-    before = sizes.select("root", (F.sum("n").over(Window.orderBy(first, "root")) - F.col("n")).alias("before"))
+    sizes = trees.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("late", first)
+    before = running(sizes, ["late", "root"], "n").select("root", (F.col("total") - F.col("n")).alias("before"))
     return trees.join(before, "root").select("root", "id", "parent", "depth", (F.col("pre") + F.col("before")).alias("pre"), (F.col("post") + F.col("before")).alias("post"), "child_idx")
 
 
@@ -110,11 +105,7 @@ def walk_forest(f: DataFrame, visitor: Callable[[dict], Visitor], schema: str) -
         for i, parent in zip(rows["id"], rows["parent"], strict=True):
             if not pd.isna(parent):
                 near[int(parent)].append(int(i))
-        v, seen = visitor(near), set()
-        v.start()
-        for root in [int(i) for i, p in zip(rows["id"], rows["parent"], strict=True) if pd.isna(p)]:
-            v.component(root)
-            DepthFirst().walk(root, lambda i: near[i], seen, v)
-        return pd.DataFrame(v.result(), columns=names)
+        roots = [int(i) for i, p in zip(rows["id"], rows["parent"], strict=True) if pd.isna(p)]
+        return pd.DataFrame(walk(near, visitor(near), Given(roots)), columns=names)
 
     return f.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, schema)

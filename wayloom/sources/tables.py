@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayloom.functions.storage import stored
+from wayloom.functions.ranges import ranged
 from wayloom.graph import Graph
 
 
@@ -19,30 +19,23 @@ def part_edges(lines: DataFrame) -> DataFrame:
 
 
 def partchain(spark: SparkSession, d: str) -> Graph:
-    """Consecutive parts of an order, for every twentieth order."""
-    return Graph.from_frames(part_edges(read(spark, d, "lineitem").filter("l_orderkey % 20 = 0")), name="partchain")
+    """Consecutive parts of an order."""
+    return Graph.from_frames(part_edges(read(spark, d, "lineitem")), name="partchain")
 
 
-def partchain_whole(spark: SparkSession, d: str) -> Graph:
-    """Consecutive parts of an order, for all orders."""
-    return Graph.from_frames(part_edges(read(spark, d, "lineitem")), name="partchain_whole")
-
-
-def error_chain(spark: SparkSession, d: str) -> Graph:
-    """From the user of each error event to the user of the next one. All errors are one sequence, so ranges of it are sorted apart."""
-    e = read(spark, d, "events").filter("event_type = 'error'").select("ts", "event_id", "user_id")
-    e = e.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id())
-    e = stored(e, "errors")
+def userchain(spark: SparkSession, d: str) -> Graph:
+    """From the user of each event to the user of the next one. All events are one sequence, so ranges of it are sorted apart."""
+    e = ranged(read(spark, d, "events").select("ts", "event_id", "user_id"), ["ts", "event_id"], "events")
     inside = Window.partitionBy("part").orderBy("ts", "event_id")
     first = e.groupBy("part").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("u"))
     after = first.select("part", F.lead("u").over(Window.orderBy("part")).alias("after"))
     rows = e.withColumn("next", F.lead("user_id").over(inside)).join(F.broadcast(after), "part")
-    return Graph.from_frames(rows.select((F.col("user_id") + 1).alias("src"), (F.coalesce("next", "after") + 1).alias("dst")).filter("dst is not null"), name="error")
+    return Graph.from_frames(rows.select((F.col("user_id") + 1).alias("src"), (F.coalesce("next", "after") + 1).alias("dst")).filter("dst is not null"), name="userchain")
 
 
 def supply(spark: SparkSession, d: str) -> Graph:
-    """From customers to suppliers of lines of 50 pieces and more."""
-    lines = read(spark, d, "lineitem").filter("l_quantity >= 50").select("l_orderkey", "l_suppkey")
+    """From customers to the suppliers of their lines."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     orders = read(spark, d, "orders").select("o_orderkey", "o_custkey")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select((F.col("o_custkey") + 1).alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"))
     return Graph.from_frames(rows, name="supply")
@@ -67,8 +60,8 @@ def tree(spark: SparkSession, d: str) -> Graph:
 
 
 def nation(spark: SparkSession, d: str) -> Graph:
-    """From the supplier's nation to the customer's, for large lines at a high discount."""
-    lines = read(spark, d, "lineitem").filter("l_quantity >= 49 and l_discount >= 0.1").select("l_orderkey", "l_suppkey")
+    """From the supplier's nation to the customer's, for every line."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = read(spark, d, "customer").select("c_custkey", "c_nationkey")
@@ -78,12 +71,11 @@ def nation(spark: SparkSession, d: str) -> Graph:
 
 #: The same edges in DuckDB's SQL, each as relations e(src, dst) and v(id).
 SQL = {
-    "partchain": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_orderkey % 20 = 0) WHERE b IS NOT NULL",
-    "partchain_whole": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL",
-    "error": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM events WHERE event_type = 'error') WHERE b IS NOT NULL",
-    "supply": "SELECT DISTINCT o_custkey + 1 AS src, l_suppkey + 1000000 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50",
+    "partchain": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL",
+    "userchain": "SELECT DISTINCT a + 1 AS src, b + 1 AS dst FROM (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL",
+    "supply": "SELECT DISTINCT o_custkey + 1 AS src, l_suppkey + 1000000 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "eventchain": "SELECT a + 1 AS src, b + 1 AS dst FROM (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL",
     "tree": "SELECT CAST(1 AS BIGINT) AS src, CAST(r_regionkey + 2 AS BIGINT) AS dst FROM region UNION SELECT n_regionkey + 2, n_nationkey + 100 FROM nation UNION SELECT c_nationkey + 100, c_custkey + 1000 FROM customer",
-    "nation": "SELECT DISTINCT CAST(s_nationkey + 1 AS BIGINT) AS src, CAST(c_nationkey + 1 AS BIGINT) AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 49 AND l_discount >= 0.1",
+    "nation": "SELECT DISTINCT CAST(s_nationkey + 1 AS BIGINT) AS src, CAST(c_nationkey + 1 AS BIGINT) AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey",
 }
-GRAPHS = {"partchain": partchain, "partchain_whole": partchain_whole, "error": error_chain, "supply": supply, "eventchain": eventchain, "tree": tree, "nation": nation}
+GRAPHS = {"partchain": partchain, "userchain": userchain, "supply": supply, "eventchain": eventchain, "tree": tree, "nation": nation}

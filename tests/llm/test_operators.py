@@ -381,6 +381,22 @@ def test_warc(spark, tmp_path):
     assert warc.pages_of(spark, f"file://{tmp_path}/empty").count() == 0
 
 
+def test_warc_cut_and_shared(spark, tmp_path):
+    """A file cut inside a payload is an error, read or passed over; two jobs write to one path."""
+    frame = spark.createDataFrame([(k, f"u{k}", f"<p>{k} " + "x" * 700_000) for k in range(2)], "page_id long, url string, html string").coalesce(1)
+    for kind, ending in (("none", ".warc"), ("gzip", ".warc.gz")):
+        path = tmp_path / kind
+        warc.archive(frame, f"file://{path}", compression=kind)
+        warc.archive(frame.withColumn("page_id", frame.page_id + 10), f"file://{path}", compression=kind)
+        assert sorted(r[0] for r in warc.pages_of(spark, f"file://{path}").select("page_id").collect()) == [0, 1, 10, 11]
+        assert not [x for x in path.iterdir() if x.name.startswith("_tasks")]
+        file = next(x for x in path.iterdir() if x.name.endswith(ending))
+        file.write_bytes(file.read_bytes()[: -(400_000 if kind == "none" else 300)])
+        for payload in ("true", "false"):
+            with pytest.raises(Exception, match="Content-Length"):
+                spark.read.format("warc").option("path", f"file://{path}").option("payload", payload).load().collect()
+
+
 # --- 5
 
 
@@ -564,6 +580,53 @@ def test_quality(spark, docs, none):
     assert all((got[i] >= 0.5) == bool(i % 2) for i in range(300, 400)) and all(0 <= x <= 1 for x in got.values())
 
 
+def test_ridge(spark):
+    """The summed normal equations against one system solved in memory; the calibration against pooling by hand."""
+    rng = np.random.default_rng(12)
+    items = [(i, " ".join(rng.choice(WORDS[: 20 + 300 * (i % 3 > 0)], int(rng.integers(1, 120))))) for i in range(240)] + [(900, None), (901, "")]
+    known = [(i, int(i % 3 > 0 or rng.random() < 0.2)) for i in range(240)] + [(900, 0)]
+    stats = quality.statistics_table(spark.createDataFrame(items, "doc_id long, text string").repartition(3))
+    model = quality.train(stats, spark.createDataFrame(known, "doc_id long, y int"), features=20, penalty=0.01)
+    x = {r[0]: np.array(r[1], np.float64) for r in stats.collect()}
+    assert all(np.allclose(x[i], np.float32(quality.statistics((t or "").encode()))) for i, t in items)
+    from pyspark.sql import functions as F
+
+    tuning = {r[0] for r in spark.createDataFrame(known, "doc_id long, y int").filter(F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(5)) == 0).collect()}
+    rows, y = np.array([x[i] for i, _ in known]), np.array([v for _, v in known], float)
+    assert np.allclose(model.kernel.mean, rows.mean(0)) and np.allclose(model.kernel.scale, np.where(rows.std(0) > 1e-6, rows.std(0), 1.0), atol=1e-6)
+    fit = np.array([i not in tuning for i, _ in known])
+    p = model.kernel(rows[fit])
+    assert np.allclose(p[:, :-1], np.cos(np.clip((rows[fit] - model.kernel.mean) / model.kernel.scale, -6, 6) @ model.kernel.w + model.kernel.b) * np.sqrt(2 / 20))
+    # ridge as least squares over the rows and one more row for each penalised unknown
+    weight = np.sqrt(0.01 * len(known) * np.r_[np.full(20, 1 / 20), 1e-9])
+    beta, *_ = np.linalg.lstsq(np.vstack([p, np.diag(weight)]), np.r_[y[fit], np.zeros(21)], rcond=None)
+    assert np.allclose(model.beta, beta, rtol=1e-4, atol=1e-5)
+    at = model.bins(rows[~fit])
+    assert np.allclose(model.steps, quality.pooled(np.bincount(at, minlength=1000), np.bincount(at, weights=y[~fit], minlength=1000))) and (np.diff(model.steps) >= 0).all()
+    got = {r[0]: r[1] for r in quality.score(stats, model).collect()}
+    assert len(got) == len(items) and all(np.isclose(got[i], model.steps[model.bins(v[None])[0]]) for i, v in x.items()) and got[900] == got[901]
+
+
+@pytest.mark.parametrize(("name", "least"), [("op6_language", 0.98), ("op7_quality", 0.95)])
+def test_held_out_accuracy(spark, name, least):
+    """On documents that weren't learned from: the language and the quality labels of the test tables."""
+    import os
+
+    from wayloom.llm import registry
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    got = {r["doc_id"]: r for r in registry.queries()[name](spark, folder).filter("held_out").collect()}
+    if name == "op6_language":
+        want = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang is not null and text is not null").select("doc_id", "lang").collect()]
+        right = [got[i]["lang_pred"] == lang for i, lang in want if i in got and got[i]["lang_pred"] != "und"]
+    else:
+        want = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality is not null").select("doc_id", "quality").collect()]
+        right = [got[i]["predicted"] == y for i, y in want if i in got]
+    assert len(right) > 50 and sum(right) >= least * len(right), sum(right) / len(right)
+
+
 def test_isotonic():
     n, ones = np.array([0, 4, 4, 0, 4, 4]), np.array([0, 1, 0, 0, 3, 2])
     got = quality.pooled(n, ones)

@@ -10,8 +10,9 @@
 Labels are drawn by a hash down to about `max_rows` rows (a documented bound). labels, lang, source and
 doc_id are no inputs of a score. Null text counts as empty; empty texts get the score of their statistics,
 all zero. Without labels, or with one class only, every score is the share of label 1 (0.5 without rows).
-A null doc_id is not learned from. Repeated labels count as often as they stand there. The document's
-other columns don't matter.
+A null doc_id is not learned from. Repeated labels count as often as they stand there, also where they differ; rows of
+equal text get equal scores. Very long texts are read whole. No documents give no rows. The document's other columns
+don't matter.
 """
 
 from __future__ import annotations

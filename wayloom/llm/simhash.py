@@ -13,7 +13,9 @@ in any task. Components come from stars over the links of classes; the id is the
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties fall
 into one class. A null doc_id gets its component's id but never names one, unless all are null. Columns
-other than doc_id and text don't matter.
+other than doc_id and text don't matter. Very long texts are read whole. An empty table gives an empty result.
+
+`keepers`, for pipelines, groups texts by the similarity of their five-word shingles instead: see similarity.
 """
 
 from __future__ import annotations

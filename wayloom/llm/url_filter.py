@@ -8,7 +8,8 @@ as a scalar; possible hits go to an exact join against the rules, which is broad
 `broadcast_rules` rules.
 
 Null, empty or odd urls (no "://"): host and path are empty, no rule fits, verdict is the default.
-Repeated rows are all kept. Columns other than page_id and url are ignored.
+Repeated rows are all kept and judged alike; very long urls are judged whole; no pages give no rows, no rules the
+default for all. Of rules for the same host and path one counts. Columns other than page_id and url are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ files of successful tasks in place, so that retried and lost tasks leave nothing
 of at least `least` bytes the one with the largest page_id is a response, the others revisit it.
 Null html is an empty payload; a null url gives no WARC-Target-URI and comes back null; a null page_id
 counts as smaller than any; repeated rows of the largest page_id are all responses. Extra columns are
-left out. No pages give an empty archive, which reads as no rows.
+left out. No pages give an empty archive, which reads as no rows. Payloads are written and read whole, however long
+(a batch is handed on at 4 MB, a longer record alone). A file that is cut off inside a record is an error, also where
+the payload is passed over. Jobs that write to one path don't disturb each other.
 """
 
 from __future__ import annotations
@@ -82,7 +84,10 @@ class Plain:
         inside = min(n, len(self.held))
         self.held = self.held[inside:]
         if n > inside:
-            self.file.seek(self.file.tell() + n - inside)
+            to = self.file.tell() + n - inside
+            if to > self.file.size():
+                raise EOFError("a record ends before its Content-Length")
+            self.file.seek(to)
 
 
 class Gzip(Plain):
@@ -118,7 +123,7 @@ class Gzip(Plain):
             n -= len(self.held)
             self.held = b""
             if not self.more():
-                return
+                raise EOFError("a record ends before its Content-Length")
         self.held = self.held[n:]
 
 
@@ -233,14 +238,14 @@ def record(row: dict) -> bytes:
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, gzip: bool):
-        self.path, self.gzip = path, gzip
+        self.path, self.gzip, self.tasks = path, gzip, f"_tasks-{uuid.uuid4().hex}"  # a folder for each job: jobs that write to one path leave each other's alone
 
     def write(self, iterator):
         fs, root = filesystem(self.path)
-        fs.create_dir(f"{root}/_tasks", recursive=True)
+        fs.create_dir(f"{root}/{self.tasks}", recursive=True)
         name = f"{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}"
         pack = (lambda x: (z := zlib.compressobj(1, zlib.DEFLATED, 31)).compress(x) + z.flush()) if self.gzip else (lambda x: x)
-        with fs.open_output_stream(f"{root}/_tasks/{name}", compression=None, buffer_size=1 << 20) as out:
+        with fs.open_output_stream(f"{root}/{self.tasks}/{name}", compression=None, buffer_size=1 << 20) as out:
             out.write(pack(record({"record_type": "warcinfo", "record_id": f"urn:uuid:{uuid.uuid4()}", "date": None, "target_uri": None, "payload_digest": None, "payload": b"format: WARC File Format 1.1\r\n", "payload_length": 29})))
             for batch in iterator:
                 for i in range(batch.num_rows):
@@ -251,14 +256,14 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = filesystem(self.path)
         for x in messages:
             if x is not None:
-                fs.move(f"{root}/_tasks/{x.name}", f"{root}/{x.name}")
-        if fs.get_file_info(f"{root}/_tasks").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{root}/_tasks")
+                fs.move(f"{root}/{self.tasks}/{x.name}", f"{root}/{x.name}")
+        if fs.get_file_info(f"{root}/{self.tasks}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{root}/{self.tasks}")
 
     def abort(self, messages):
         fs, root = filesystem(self.path)
-        if fs.get_file_info(f"{root}/_tasks").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{root}/_tasks")
+        if fs.get_file_info(f"{root}/{self.tasks}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{root}/{self.tasks}")
 
 
 class WarcDataSource(DataSource):

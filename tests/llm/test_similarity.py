@@ -61,24 +61,27 @@ def test_cells(spark, items):
     """Buckets cut into cells of blocks, without the star rounds' help, find the same pairs as in one."""
     frame = spark.createDataFrame(items, "doc_id long, text string")
     masks = simhash.covering_masks(2)
-    got = [sorted(map(tuple, similarity.near_groups(frame, masks, block=n).collect()), key=str) for n in (2048, 3)]
+    got = [sorted(map(tuple, similarity.near_groups(frame, masks, block=n).collect()), key=str) for n in (1024, 3)]
     assert got[0] == got[1]
 
 
 def test_across(spark):
-    """A bucket in which no star links anything: all pairs of different components that agree in enough minima."""
+    """Buckets in which no star has linked anything: all pairs of different components, each compared once."""
     rng = np.random.default_rng(5)
-    signs = rng.integers(0, 3, (90, similarity.SIGNS)).astype(np.uint8)
-    for k in range(30):
-        signs[60 + k] = signs[k]
-        signs[60 + k][: k + 1] += 7
+    base = [np.sort(rng.integers(0, 2**62, 60, dtype=np.uint64)) for _ in range(6)]
+    masks = np.array(simhash.covering_masks(2), np.uint64)
+    sets = [np.sort(np.r_[base[k % 6][rng.random(60) < 0.93], rng.integers(0, 2**62, int(rng.integers(0, 4)), dtype=np.uint64)]) for k in range(90)]
+    marks = [similarity.signs_of(h, masks) for h in sets]
     roots = [k % 50 for k in range(90)]
-    classes = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(signs)], "node long, signs binary")
-    mixed = spark.createDataFrame([(key, k, roots[k]) for key in (1, 2) for k in range(90) if key == 1 or k % 2], "key long, node long, root long")
-    want = {(i, j) for i in range(90) for j in range(i) if roots[i] != roots[j] and (signs[i] == signs[j]).sum() >= 75}
-    want = {(min(p), max(p)) for p in want}
-    for block in (2048, 7):
-        assert {tuple(r) for r in similarity.across(mixed, classes, 75, block).collect()} == want and want
+    classes = spark.createDataFrame([(k, m[0].tolist(), bytearray(m[1])) for k, m in enumerate(marks)], "node long, keys array<long>, signs binary")
+    frame = spark.createDataFrame([(k, h.view(np.int64).tolist()) for k, h in enumerate(sets)], "node long, s array<long>")
+    rooted = [(int(key), at, k, roots[k]) for k, m in enumerate(marks) for at, key in enumerate(m[0].tolist())]
+    rooted = spark.createDataFrame(rooted, "key long, at int, node long, root long")
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    want = {(j, i) for i in range(90) for j in range(i) if roots[i] != roots[j] and jaccard(sets[i], sets[j]) >= 0.8}
+    for block in (1024, 7):
+        got = [tuple(r) for r in similarity.across(rooted, classes, frame, (4, 5), 75, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
 
 
 def test_one_id_two_texts(spark):

@@ -9,10 +9,11 @@ pair of exactly 0.8 shares none of them once in 20 million (0.5904^32), more sim
 Every candidate is compared: first by 128 minima of 8 bits (below 75 equal ones a pair of 0.8 falls once in a billion),
 then by the shingle sets themselves, so no pair below the similarity is linked. Two rounds keep the comparisons few:
 
-1. the members of a bucket are compared with that of the smallest hash; near copies share most buckets, so this is
-   mostly the same one in all of them;
-2. all pairs of a bucket whose members are not yet in one component are compared; buckets above `block` members are
-   cut into cells of two blocks, so that no task holds a bucket. A pair that is left out joins what is joined already.
+1. the members of a bucket are compared with its centre: the one that agrees in most minima with the bucket's
+   commonest values, mostly the original of a group of copies;
+2. pairs of a bucket whose members are not yet in one component are compared in the task that has the bucket, each in
+   the first table alone in which it meets, so that only links leave it; buckets above `block` members are cut into
+   cells of two blocks, so that no task holds a bucket. A pair that is left out joins what is joined already.
 
 Texts without a word are near nothing. Columns other than doc_id and text don't matter; rows of one doc_id and
 different texts are told apart by the text's hash. An empty table gives an empty result; very long texts are read whole.
@@ -115,100 +116,135 @@ def likely(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), scan, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: tuple[int, int], shingle: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have a similarity of least[0] / least[1] or more, stored."""
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """node, s: the sorted shingle hashes of the classes in nodes, stored. Their texts are told by their hash as docs is read."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x, shingle) for x in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "s"])
 
+    one = stored(classes.join(nodes.distinct(), "node", "left_semi").select("t").distinct(), "near-wanted")
+    some = docs.select(text_hash().alias("t"), F.col("text").cast("string")).join(broadcast_if_small(one, 1_000_000), "t", "left_semi")
+    return stored(map_arrow(some.dropDuplicates(["t"]).select("text"), scan, "node long, s array<long>"), "near-sets")
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
+    p, q = least
+    if max(len(x), len(y)) * p > min(len(x), len(y)) * q:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * q >= (len(x) + len(y) - both) * p
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: tuple[int, int], shingle: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have a similarity of least[0] / least[1] or more, stored."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, q = least
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = (np.asarray(v.values) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * q >= (len(x) + len(y) - both) * p)
+            keep = [alike(np.asarray(x.values), np.asarray(y.values), least) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = stored(pairs, "near-pairs")
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = stored(classes.join(wanted, "node", "left_semi").select("t").distinct(), "near-wanted")
-    some = docs.select(text_hash().alias("t"), F.col("text").cast("string")).join(broadcast_if_small(one, 1_000_000), "t", "left_semi")
-    sets = stored(map_arrow(some.dropDuplicates(["t"]).select("text"), scan, "node long, s array<long>"), "near-sets")
-    p, q = least
-    size = sets.select("node", F.size("s").alias("n"))
-    # sizes first: sets are joined only where the sizes allow the similarity
-    fit = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(size.select(F.col("node").alias("b"), "n"), "b")
-    fit = fit.filter(F.greatest("m", "n") * p <= F.least("m", "n") * q).select("a", "b")
-    both = fit.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, classes, shingle)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return stored(map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long"), "near-links")
 
 
-def across(rooted: DataFrame, classes: DataFrame, agree: int, block: int) -> DataFrame:
-    """Likely pairs (a, b) of different components within the buckets of (key, node, root), cell by cell."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows of equal keys, of rows that come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        rows = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+        start = 0
+        for k in range(1, len(rows) + 1):
+            if k == len(rows) or rows[k] != rows[start]:
+                if rows[start] != now and held:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                now = rows[start]
+                held.append(b.slice(start, k - start))
+                start = k
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def centres(members: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """key, a: the member of each bucket that agrees in most minima with the bucket's commonest values, block by block the best."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for t in grouped(batches, ["key", "part"]):
+            signs = _signs(t.column("signs"))
+            common = np.array([np.bincount(c).argmax() for c in signs.T], np.uint8) if len(signs) > 2 else signs[0]
+            same = (signs == common).sum(1)
+            best = int(same.argmax())
+            yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks()[:1], t.column("node").combine_chunks()[best : best + 1], pa.array([int(same[best])])], names=["key", "node", "same"])
+
+    rows = members.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block))).join(classes.select("node", "signs"), "node")
+    best = map_arrow(rows.select("key", "part", "node", "signs").repartition("key", "part").sortWithinPartitions("key", "part", "node"), scan, "key long, node long, same long")
+    return best.groupBy("key").agg(F.max_by("node", F.struct("same", "node")).alias("a"))
 
-        def out() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
+
+def across(rooted: DataFrame, classes: DataFrame, sets: DataFrame, least: tuple[int, int], agree: int, block: int) -> DataFrame:
+    """Links (a, b) of different components within the buckets of (key, at, node, root), cell by cell.
+
+    A pair is compared in the first table alone in which its keys agree, and its sets at once, in the same task.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["key", "i", "j"]):
             node, root, part = (t.column(c).to_numpy() for c in ("node", "root", "part"))
-            signs = _signs(t.column("signs"))
-            one = len(np.unique(part)) == 1
+            at, signs = t.column("at")[0].as_py(), _signs(t.column("signs"))
+            keys = np.array(t.column("keys").to_pylist(), np.int64)
+            held = t.column("s").combine_chunks()
+            one = bool((part == part[0]).all())
+            a, b = [], []
             for i in range(len(node)):
                 others = np.flatnonzero(root != root[i])
-                others = others[others > i] if one else others[(part[others] > part[i])]
-                near = others[(signs[others] == signs[i]).sum(1) >= agree]
-                if len(near):
-                    a, b = np.minimum(node[i], node[near]), np.maximum(node[i], node[near])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        now = None
-        for b in batches:
-            cells = list(zip(b.column("key").to_pylist(), b.column("i").to_pylist(), b.column("j").to_pylist(), strict=True))
-            start = 0
-            for k in range(1, len(cells) + 1):
-                if k == len(cells) or cells[k] != cells[start]:
-                    if cells[start] != now and held:
-                        yield from out()
-                        held.clear()
-                    now = cells[start]
-                    held.append(b.slice(start, k - start))
-                    start = k
-        if held:
-            yield from out()
+                others = others[others > i] if one else others[part[others] > part[i]]
+                others = others[(signs[others] == signs[i]).sum(1) >= agree]
+                others = others[(keys[others] == keys[i]).argmax(1) == at]
+                for j in others.tolist():
+                    if alike(np.asarray(held[i].values), np.asarray(held[j].values), least):
+                        a.append(int(min(node[i], node[j])))
+                        b.append(int(max(node[i], node[j])))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     sizes = rooted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    rows = rooted.join(sizes, "key").join(classes.select("node", "signs"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rooted.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     # a cell of a block with itself serves the pairs inside the block; of two blocks, those between them
-    dealt = cells.select("key", "i", "j", "part", "node", "root", "signs").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_arrow(dealt, scan, "a long, b long").distinct()
+    cells = cells.join(classes.select("node", "keys", "signs"), "node").join(sets, "node")
+    dealt = cells.select("key", "at", "i", "j", "part", "node", "root", "keys", "signs", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return map_arrow(dealt, scan, "a long, b long")
 
 
-def near_groups(docs: DataFrame, masks: list[int], least: tuple[int, int] = (4, 5), shingle: int = 5, block: int = 2048, agree: int = 75) -> DataFrame:
+def near_groups(docs: DataFrame, masks: list[int], least: tuple[int, int] = (4, 5), shingle: int = 5, block: int = 1024, agree: int = 75) -> DataFrame:
     """doc_id, t (the text's hash), component_id, keep_t for every row with a word.
 
     component_id is the smallest doc_id of the component (null last), keep_t the smallest hash of that id's texts.
     """
     rows = stored(prints(docs, shingle, masks), "near-prints")
     classes = stored(rows.groupBy("node").agg(F.min("t").alias("t"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"), F.first("keys").alias("keys"), F.first("signs").alias("signs")), "near-classes")
-    tables = classes.select("node", F.explode("keys").alias("key"))
-    sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("a")).filter("n > 1")
+    tables = classes.select("node", F.posexplode("keys").alias("at", "key"))
+    sizes = tables.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("a")).filter("n > 1")
     members = stored(tables.join(sizes, "key"), "near-members")
-    star = members.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    middle = centres(members.filter("n > 2"), classes, block)
+    star = members.filter("n > 2").drop("a").join(middle, "key").select("a", "node").union(members.filter("n = 2").select("a", "node"))
+    star = star.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     links = verified(likely(star, classes, agree), docs, classes, least, shingle)
     roots = stored(stars(links, "near-stars"), "near-roots")
-    rooted = members.filter("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    rest = verified(across(stored(rooted.join(apart, "key"), "near-apart"), classes, agree, block), docs, classes, least, shingle)
-    if not rest.isEmpty():
-        roots = stored(stars(links.union(rest), "near-stars"), "near-roots")
+    rooted = members.filter("n > 2").join(roots, "node", "left").select("key", "at", "node", F.coalesce("root", "node").alias("root"))
+    mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+    apart = stored(rooted.join(mixed_keys, "key"), "near-apart")
+    if not apart.isEmpty():
+        sets = sets_of(apart.select("node"), docs, classes, shingle)
+        rest = stored(across(apart, classes, sets, least, agree, block), "near-links")
+        if not rest.isEmpty():
+            roots = stored(stars(links.union(rest), "near-stars"), "near-roots")
     linked = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     ids = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("node", F.col("keep.doc_id").alias("component_id"), F.col("keep.t").alias("keep_t"))
     return rows.select("doc_id", "t", "node").join(ids, "node").select("doc_id", "t", "component_id", "keep_t")

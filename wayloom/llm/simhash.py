@@ -8,8 +8,9 @@ orthogonal to all their vectors, so every pair within the radius collides in som
 Buckets of two are compared at once, those of up to `bucket` classes are compared pair by pair. The
 members of larger buckets go another exact way, without pairs: two fingerprints differ in at most r bits
 if and only if their balls of radius r / 2 meet, and a ball's centre has a fixed number of fingerprints
-around it; links to the smallest of these join the same components. So no group grows beyond a constant
-in any task. Components come from stars over the links of classes; the id is the smallest doc_id.
+around it (65 rows of 16 bytes for radius 2, as many as pairs with 65 others would be); links to the smallest of
+these join the same components. So no group grows beyond a constant in any task. Components come from stars over
+the links of classes; the id is the smallest doc_id.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties fall
 into one class. A null doc_id gets its component's id but never names one, unless all are null. Columns

@@ -6,14 +6,15 @@ brought together by anchors instead:
 
 1. A window's anchor is the smallest hash of its 10-word runs. Equal windows have equal anchors, and neighbouring
    windows of one anchor form a segment (about 20 windows). Anchors of a single document are done with.
-2. An anchor of more than `large` segments is parted: its windows' hashes are counted, those of one document are
-   dropped, and the rest of a segment is cut where the set of documents changes (told by its first, last and number).
-   So a passage that many documents share loses what stands around it, and stays in one part.
-3. Of equal pieces of an anchor and part, grouped by their words, the smallest doc_id stays; the others' windows are
-   all repeats.
-4. The differing pieces of an anchor and part are a shard. In the order of doc_id, each streams through the suffix
-   automaton of those of smaller doc_id (matching statistics), then extends it. Where the statistic reaches the
-   length of a window, the window is a repeat.
+2. Equal pieces (segments' words) of an anchor are one, grouped by their words with the smallest doc_id; later
+   documents lose all of such a piece.
+3. The differing pieces of an anchor are a shard. In the order of doc_id, each streams through the suffix automaton of
+   those of smaller doc_id (matching statistics), then extends it. Where the statistic reaches the length of a window,
+   the window is a repeat.
+4. An anchor of more than `large` differing pieces would outgrow a task and is parted first: its windows' hashes are
+   counted, those of one document are dropped, and the rest of a piece is cut where the set of documents changes (told
+   by its first, its last and the number of pieces). So a passage that many documents share loses what stands around it,
+   and stays in one part; the parts are shards.
 5. The spans of a document are united, and its kept words are written once more.
 
 Hashes only bring pieces together: whether words are equal is decided by the words alone, here and in the automata.
@@ -118,7 +119,6 @@ class SuffixAutomaton:
 
 _SEGS = pa.list_(pa.struct([("anchor", pa.int64()), ("first", pa.int32()), ("count", pa.int32())]))
 _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-PIECES = "anchor long, part long, doc_id long, t long, first int, n int, words string"
 
 
 def sha(words: list[bytes]) -> bytes:
@@ -145,68 +145,63 @@ def segment_table(docs: DataFrame, window: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "t", "text"), scan, "doc_id long, t long, n_words long, sha binary, segs array<struct<anchor:long,first:int,count:int>>")
 
 
-def pieces_of(docs: DataFrame, name: str) -> DataFrame:
-    """PIECES of docs: the words of the ranges (anchor, part, first, n) in the column of that name."""
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """anchor, doc_id, t, first, n, words of the ranges (anchor, first, n) in docs' column ranges."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, t, x, ranges in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), texts(b), b.column(name).to_pylist(), strict=True):
+            for doc_id, t, x, ranges in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), texts(b), b.column("ranges").to_pylist(), strict=True):
                 w = x.split()
-                rows += [(r["anchor"], r["part"], doc_id, t, r["first"], r["n"], b" ".join(w[r["first"] : r["first"] + r["n"]])) for r in ranges]
+                rows += [(r["anchor"], doc_id, t, r["first"], r["n"], b" ".join(w[r["first"] : r["first"] + r["n"]])) for r in ranges]
                 if len(rows) >= 10_000:
                     yield batch(rows)
                     rows = []
             yield batch(rows)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), pa.array(cols[6], pa.binary()).cast(pa.string())], names=["anchor", "part", "doc_id", "t", "first", "n", "words"])
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), pa.array(cols[5], pa.binary()).cast(pa.string())], names=["anchor", "doc_id", "t", "first", "n", "words"])
 
-    return map_arrow(docs.select("doc_id", "t", "text", name), scan, PIECES)
+    return map_arrow(docs.select("doc_id", "t", "text", "ranges"), scan, "anchor long, doc_id long, t long, first int, n int, words string")
 
 
-def windows_of(docs: DataFrame, window: int) -> DataFrame:
-    """anchor, key, doc_id, t, at of the windows in the ranges (anchor, first, n) of the column large."""
+def windows_of(distinct: DataFrame, window: int) -> DataFrame:
+    """anchor, words, d0, d1, at, key: the hash of each window of the pieces."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            anchors, keys, ids, ts, places = [], [], [], [], []
-            for doc_id, t, x, ranges in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), texts(b), b.column("large").to_pylist(), strict=True):
-                w = x.split()
-                for r in ranges:
-                    m = r["n"] - window + 1
-                    anchors += [r["anchor"]] * m
-                    keys += [xxhash.xxh3_64_intdigest(b" ".join(w[i : i + window])) for i in range(r["first"], r["first"] + m)]
-                    places += range(r["first"], r["first"] + m)
-                    ids += [doc_id] * m
-                    ts += [t] * m
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(places, pa.int32())], names=["anchor", "key", "doc_id", "t", "at"])
+            keys = []
+            for x in texts(b, "words"):
+                w = x.split(b" ")
+                keys.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + window])) for i in range(len(w) - window + 1)], np.uint64).view(np.int64))
+            yield b.append_column("keys", pa.array(keys, pa.list_(pa.int64())))
 
-    return map_arrow(docs.select("doc_id", "t", "text", "large"), scan, "anchor long, key long, doc_id long, t long, at int")
+    found = map_arrow(distinct.select("anchor", "words", "d0", "d1"), scan, "anchor long, words string, d0 long, d1 long, keys array<long>")
+    return found.select("anchor", "words", "d0", "d1", F.posexplode("keys").alias("at", "key"))
 
 
-def parted(docs: DataFrame, window: int) -> DataFrame:
-    """PIECES of the large anchors' segments in docs (doc_id, t, text, large), cut where the windows' documents change.
+def parted(distinct: DataFrame, window: int) -> DataFrame:
+    """anchor, words, lo, n, part, piece, d0, d1: the pieces of large anchors, cut where the windows' documents change.
 
-    A window that only one document has is dropped. The others' part is made of the first, the last and the number of
-    documents' rows that have the window: equal windows are in equal parts.
+    A window that only one document has is dropped. The others' part is made of the first and the last document and the
+    number of pieces that have the window: equal windows are in equal parts.
     """
-    wins = stored(windows_of(docs, window), "op8-windows")
-    seen = wins.groupBy("anchor", "key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+    wins = stored(windows_of(distinct, window), "op8-windows")
+    seen = wins.groupBy("anchor", "key").agg(F.min("d0").alias("x"), F.max("d1").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
     parts = stored(seen.select("anchor", "key", F.xxhash64("x", "y", "m").alias("part")), "op8-parts")
     inside = wins.join(parts, ["anchor", "key"])
-    # a run of neighbouring windows of one anchor and part: their place less their number in the document and part is the same
-    number = F.row_number().over(Window.partitionBy("doc_id", "t", "anchor", "part").orderBy("at"))
-    runs = inside.select("doc_id", "t", "anchor", "part", "at").distinct().withColumn("run", F.col("at") - number)
-    runs = runs.groupBy("doc_id", "t", "anchor", "part", "run").agg(F.min("at").alias("first"), (F.count(F.lit(1)) + (window - 1)).cast("int").alias("n"))
-    ranges = runs.groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "part", "first", "n")).alias("ranges"))
-    return pieces_of(docs.select("doc_id", "t", "text").join(stored(ranges, "op8-ranges"), ["doc_id", "t"]), "ranges")
+    # a run of neighbouring windows of one piece and part: their place less their number in the piece and part is the same
+    number = F.row_number().over(Window.partitionBy("anchor", "words", "part").orderBy("at"))
+    runs = inside.select("anchor", "words", "d0", "d1", "part", "at", (F.col("at") - number).alias("run"))
+    runs = runs.groupBy("anchor", "words", "d0", "d1", "part", "run").agg(F.min("at").alias("lo"), (F.count(F.lit(1)) + (window - 1)).cast("int").alias("n"))
+    piece = F.array_join(F.slice(F.split("words", " ", -1), F.col("lo") + 1, F.col("n")), " ")
+    return runs.select("anchor", "words", "lo", "n", "part", piece.alias("piece"), "d0", "d1")
 
 
 def shard_spans(distinct: DataFrame, window: int) -> DataFrame:
-    """distinct (anchor, part, words, d0, d1) with spans: in the order of d0 each streams through the automaton of those of smaller d0."""
+    """distinct (anchor, part, words, d0) with spans: in the order of d0 each streams through the automaton of those of smaller d0."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = doc = None
@@ -225,8 +220,16 @@ def shard_spans(distinct: DataFrame, window: int) -> DataFrame:
                 waiting.append(w)
             yield b.append_column("spans", pa.array(found, _SPANS))
 
-    dealt = distinct.select("anchor", "part", "words", "d0", "d1").repartition("anchor", "part").sortWithinPartitions("anchor", "part", "d0", "words")
-    return map_arrow(dealt, match, "anchor long, part long, words string, d0 long, d1 long, spans array<struct<lo:int,hi:int>>")
+    dealt = distinct.select("anchor", "part", "words", "d0").repartition("anchor", "part").sortWithinPartitions("anchor", "part", "d0", "words")
+    return map_arrow(dealt, match, "anchor long, part long, words string, d0 long, spans array<struct<lo:int,hi:int>>")
+
+
+def matched(distinct: DataFrame, window: int) -> DataFrame:
+    """distinct (anchor, part, words, d0, d1) with spans: those of its windows that occur in documents before d0."""
+    key = ["anchor", "part"]
+    shards = stored(distinct.groupBy(*key).agg(F.min("d0").alias("x"), F.max("d0").alias("y")).filter("x <> y").select(*key), "op8-shards")
+    alone = distinct.join(shards, key, "left_anti").filter("d0 <> d1").select(*key, "words", "d0", F.expr("cast(array() as array<struct<lo:int,hi:int>>)").alias("spans"))
+    return alone.union(shard_spans(distinct.join(shards, key, "left_semi"), window))
 
 
 def kept_table(docs: DataFrame) -> DataFrame:
@@ -249,32 +252,40 @@ def kept_table(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "t", "text", "spans"), scan, "doc_id long, t long, n_removed long, kept_sha binary, kept_text string")
 
 
-def dedup(docs: DataFrame, window: int = 50, large: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, t, n_words, sha) of every row, and (doc_id, t, n_removed, kept_sha, kept_text) of the texts that lose words."""
+def dedup(docs: DataFrame, window: int = 50, large: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, n_words, sha) of every row, and (doc_id, t, n_removed, kept_sha, kept_text) of the texts that lose words.
+
+    large: differing pieces of an anchor that one automaton takes whole (about 28 KB each); anchors of more are parted.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", text_hash())
     base = stored(segment_table(docs, window), "op8-segments")
     segs = base.filter("doc_id is not null").select("doc_id", "t", F.inline("segs"))
-    counts = segs.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
-    shared = stored(counts.select("anchor", (F.col("m") > large).alias("large")), "op8-shared")
-    found = segs.join(shared, "anchor").select("doc_id", "t", "large", F.struct("anchor", F.lit(0).cast("long").alias("part"), "first", (F.col("count") + (window - 1)).cast("int").alias("n")).alias("r"))
-    wanted = found.groupBy("doc_id", "t").agg(*[F.collect_set(F.when(F.col("large") == F.lit(x), F.col("r"))).alias(name) for name, x in (("ranges", False), ("large", True))])
-    texts_of = stored(docs.dropDuplicates(["doc_id", "t"]).join(stored(wanted, "op8-wanted"), ["doc_id", "t"]), "op8-texts")
-    pieces = pieces_of(texts_of.filter(F.size("ranges") > 0), "ranges")
-    if not shared.filter("large").isEmpty():
-        pieces = pieces.union(parted(texts_of.filter(F.size("large") > 0), window))
-    pieces = stored(pieces, "op8-pieces")
-    key = ["anchor", "part"]
-    distinct = stored(pieces.groupBy(*key, "words").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")), "op8-distinct")
-    shards = stored(distinct.groupBy(*key).agg(F.min("d0").alias("x"), F.max("d0").alias("y")).filter("x <> y").select(*key), "op8-shards")
-    alone = distinct.join(shards, key, "left_anti").withColumn("spans", F.expr("cast(array() as array<struct<lo:int,hi:int>>)"))
-    matched = alone.unionByName(shard_spans(distinct.join(shards, key, "left_semi"), window)).filter("d0 <> d1 or size(spans) > 0")
+    shared = stored(segs.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select("anchor"), "op8-shared")
+    found = segs.join(shared, "anchor").select("doc_id", "t", F.struct("anchor", "first", (F.col("count") + (window - 1)).cast("int").alias("n")).alias("r"))
+    wanted = stored(found.groupBy("doc_id", "t").agg(F.collect_set("r").alias("ranges")), "op8-wanted")
+    texts_of = stored(docs.dropDuplicates(["doc_id", "t"]).join(wanted, ["doc_id", "t"]), "op8-texts")
+    pieces = stored(pieces_of(texts_of), "op8-pieces")
+    whole = F.lit(0).cast("long").alias("part")
+    distinct = stored(pieces.groupBy("anchor", "words").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")), "op8-distinct")
+    crowded = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > large).select("anchor"), "op8-crowded")
+    one = lambda lo, d0: F.array(F.struct(lo.alias("lo"), d0.alias("d0"), F.col("spans"), F.col("n")))
+    some = distinct.withColumn("n", F.size(F.split("words", " ", -1)))
+    found = matched((some if crowded.isEmpty() else some.join(crowded, "anchor", "left_anti")).select("anchor", whole, "words", "d0", "d1"), window)
+    found = found.withColumn("n", F.size(F.split("words", " ", -1))).select("anchor", "words", one(F.lit(0), F.col("d0")).alias("parts"))
+    if not crowded.isEmpty():
+        cut = stored(parted(distinct.join(crowded, "anchor", "left_semi"), window), "op8-cut")
+        small = cut.groupBy("anchor", "part", F.col("piece").alias("words")).agg(F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+        own = stored(matched(stored(small, "op8-parted"), window), "op8-own")
+        back = cut.drop("d0", "d1").join(own.withColumnRenamed("words", "piece"), ["anchor", "part", "piece"])
+        found = found.union(back.groupBy("anchor", "words").agg(F.collect_list(F.struct("lo", "d0", "spans", "n")).alias("parts")))
     # written, so that the join below has an exchange on both sides and Spark can split a very common piece
-    matched = stored(matched.drop("d1"), "op8-matched")
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
-    hit = pieces.join(matched, [*key, "words"]).select("doc_id", "t", "first", F.inline(F.when(F.col("doc_id") > F.col("d0"), whole).otherwise(F.col("spans"))))
-    spans = hit.groupBy("doc_id", "t").agg(F.collect_list(F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))).alias("spans"))
-    cut = texts_of.select("doc_id", "t", "text").join(stored(spans, "op8-spans"), ["doc_id", "t"])
-    return base.drop("segs"), stored(kept_table(cut), "op8-kept")
+    found = stored(found, "op8-matched")
+    hit = pieces.join(found, ["anchor", "words"]).select("doc_id", "t", "first", F.inline("parts"))
+    all_of = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    hit = hit.select("doc_id", "t", (F.col("first") + F.col("lo")).alias("at"), F.inline(F.when(F.col("doc_id") > F.col("d0"), all_of).otherwise(F.col("spans"))).alias("from", "to"))
+    spans = hit.groupBy("doc_id", "t").agg(F.collect_list(F.struct((F.col("at") + F.col("from")).alias("lo"), (F.col("at") + F.col("to")).alias("hi"))).alias("spans"))
+    lost = texts_of.select("doc_id", "t", "text").join(stored(spans, "op8-spans"), ["doc_id", "t"])
+    return base.drop("segs"), stored(kept_table(lost), "op8-kept")
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
